@@ -119,7 +119,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
 
     # equal sets have one representative, the smallest id
     full = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    same = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    same = work.save(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")))
 
     keyed = texts.where("doc_id IS NOT NULL").mapInArrow(_keys(width, percent), "key long, u long, v long")
     candidates = work.save(keyed.repartition("key").mapInArrow(_edges, "u long, v long").distinct())
