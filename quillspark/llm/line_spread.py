@@ -38,15 +38,12 @@ def boilerplate_lines(lines: DataFrame, spread: Spread) -> DataFrame:
     Null sites count as no site. Lines need ``digest_, site_, id_, at_``.
     """
     low, high = spread.min_sites * (1 - spread.band), spread.min_sites * (1 + spread.band)
-    # a line on one site needs no sketch: most lines leave here, with a combined min and max for each
-    sites = lines.groupBy("digest_").agg(F.min("site_").alias("a"), F.max("site_").alias("b"), F.min(F.struct("id_", "at_")).alias("first_"))
-    several = sites.where("a != b").select("digest_", "first_")
-    marked = lines.select("digest_", "site_").join(several, "digest_")
-    sketched = marked.groupBy("digest_").agg(F.hll_sketch_agg("site_", spread.lg_k).alias("sketch"), F.min("first_").alias("first_"))
+    # sketches begin in each task, so a line that is everywhere shuffles as a row for each task
+    sketched = lines.groupBy("digest_").agg(F.hll_sketch_agg("site_", spread.lg_k).alias("sketch"), F.min(F.struct("id_", "at_")).alias("first_"))
     estimated = sketched.select("digest_", "first_", F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= low)
     sure = estimated.where(F.col("estimate") > high).select("digest_", "first_")
     near = estimated.where(F.col("estimate") <= high).select("digest_", "first_")
-    exact = lines.select("digest_", "site_").where("site_ IS NOT NULL").join(near, "digest_").distinct()
+    exact = lines.select("digest_", "site_").where("site_ IS NOT NULL").distinct().join(near, "digest_")
     counted = exact.groupBy("digest_").agg(F.count(F.lit(1)).alias("n"), F.min("first_").alias("first_")).where(F.col("n") >= spread.min_sites)
     return sure.unionByName(counted.select("digest_", "first_"))
 
