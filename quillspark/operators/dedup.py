@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import acronym, all_citations, contains_acronym, is_acronym, quoted, starts_of
+from quillspark.plans.storage import Workspace
 
 KEYS = ["doc_id", "type"]
 
@@ -71,7 +72,8 @@ def group_names(names: DataFrame, scores: DataFrame | None = None) -> DataFrame:
         label = pd.Series(average_linkage(len(left), found), dtype="int64")
         return left.assign(grp=left.groupby(label)["first"].transform("min").astype("int32"))
 
-    return names.groupBy(*KEYS).cogroup(scores.select(*KEYS, "name_a", "name_b", "score").groupBy(*KEYS)).applyInPandas(run, schema)
+    right = scores.select(*KEYS, "name_a", "name_b", "score").toDF(*KEYS, "name_a", "name_b", "score")
+    return names.groupBy(*KEYS).cogroup(right.groupBy(*KEYS)).applyInPandas(run, schema)
 
 
 def _ddl(df: DataFrame) -> str:
@@ -190,18 +192,23 @@ def merge_groups(groups: DataFrame, edges: DataFrame) -> DataFrame:
             parent[max(a, b)] = min(a, b)
         return left.assign(grp=left["grp"].map(root))
 
-    return groups.groupBy(*KEYS).cogroup(edges.groupBy(*KEYS)).applyInPandas(run, schema)
+    right = edges.select(*KEYS, "a", "b").toDF(*KEYS, "a", "b")  # new column identities: both sides come from the groups
+    return groups.groupBy(*KEYS).cogroup(right.groupBy(*KEYS)).applyInPandas(run, schema)
 
 
 def deduplicate(mentions: DataFrame, scores: DataFrame | None = None, similarity: Callable[[str, str], float] | None = None) -> DataFrame:
-    """Valid mentions with ``label`` (the name, or Unnamed_k) and ``cluster`` (name_cluster_k, or Unnamed)."""
-    labelled = attach_unnamed(mentions.where("valid AND NOT skipped"), similarity)
-    groups = group_names(name_groups(labelled), scores)
+    """Valid mentions with ``label`` (the name, or Unnamed_k) and ``cluster`` (name_cluster_k, or Unnamed).
+
+    Labelled mentions and groups are written once, since several steps read them, and so is the result.
+    """
+    work = Workspace(mentions.sparkSession, "dedup")
+    labelled = work.save(attach_unnamed(mentions.where("valid AND NOT skipped"), similarity))
+    groups = work.save(group_names(name_groups(labelled), scores))
     by_citation = citation_edges(groups, citation_of_name(closest_citation(labelled)))
-    merged = merge_groups(groups, by_citation)
+    merged = work.save(merge_groups(groups, by_citation))
     merged = merge_groups(merged, acronym_edges(merged)).select(*KEYS, F.col("name").alias("label"), "grp")
     cluster = F.when(F.col("grp").isNull(), "Unnamed").otherwise(F.concat(F.lit("name_cluster_"), "grp"))
-    return labelled.join(merged, [*KEYS, "label"], "left").withColumn("cluster", cluster).drop("grp")
+    return work.save(labelled.join(merged, [*KEYS, "label"], "left").withColumn("cluster", cluster).drop("grp"))
 
 
 def without_dedup(mentions: DataFrame) -> DataFrame:

@@ -23,12 +23,18 @@ def contains(text: Column, phrase: Column) -> Column:
     return F.lower(text).contains(F.lower(phrase))
 
 
-def _keys(text: Column, most: int) -> Column:
-    """Distinct n-grams of 1 to ``most`` tokens of a lower-cased text, with what stands between the tokens."""
-    pieces = F.regexp_extract_all(F.lower(text), F.lit(PIECE), F.lit(1))
-    places = F.filter(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.element_at(pieces, i).rlike(r"(?U)^\w"))
-    grams = F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.lit(2 * most - 1), F.lit(2)), lambda n: F.when(i + n - 1 <= F.size(pieces), F.array_join(F.slice(pieces, i, n), ""))))
-    return F.when(F.size(pieces) > 0, F.array_distinct(F.array_compact(F.flatten(grams))))
+def _keys(pieces: Column, most: int) -> Column:
+    """Distinct n-grams of 1 to ``most`` tokens, with what stands between the tokens; tokens and gaps alternate."""
+    count = F.size(pieces)
+    first = F.when(F.get(pieces, F.lit(0)).rlike(r"(?U)^\w"), 1).otherwise(2)
+    places = F.sequence(first, count, F.lit(2))
+
+    def grams_of(n: int) -> Column:
+        return F.transform(places, lambda i: F.when(i + n - 1 <= count, F.array_join(F.slice(pieces, i, F.lit(n)), "")))
+
+    words = F.transform(places, lambda i: F.element_at(pieces, i))
+    grams = [grams_of(n) for n in range(3, 2 * most, 2)]
+    return F.when(first <= count, F.array_compact(F.array_distinct(F.concat(words, *grams))))
 
 
 def prepare(lexicon: DataFrame) -> DataFrame:
@@ -54,7 +60,9 @@ def match_lexicon(sentences: DataFrame, lexicon: DataFrame, keys: list[str] | No
         most = 1
     per_document = "doc_id" in lexicon.columns
     on = ["key", "doc_id"] if per_document else ["key"]
-    exploded = sentences.where("text IS NOT NULL").withColumn("key", F.explode(_keys(F.col("text"), most)))
+    # the pieces are a column of their own, so that array functions don't split the text again for each element
+    pieces = sentences.where("text IS NOT NULL").withColumn("pieces_", F.regexp_extract_all(F.lower("text"), F.lit(PIECE), F.lit(1)))
+    exploded = pieces.withColumn("key", F.explode(_keys(F.col("pieces_"), most))).drop("pieces_")
     rows = ready.select(*on, "rank", "phrase", "kind", "low", "size")
     found = exploded.join(rows.where("key IS NOT NULL"), on).drop("key")
     signs = rows.where("key IS NULL").drop("key")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.scoring import RuleScorer, Scorer
 from quillspark.functions.text import find_citations, find_urls
 from quillspark.operators import cascade, dedup, lexicon, match, report, segment
+from quillspark.plans.storage import Workspace
 
 
 def with_text_parts(sentences: DataFrame) -> DataFrame:
@@ -44,7 +45,8 @@ def extract(sentences: DataFrame, lexicon_rows: DataFrame, scorer: Scorer | None
         texts = segment.paragraph_texts(sentences)
         answers = report.fast_rows(texts, found).where("candidates != ''").select("doc_id", "sec", "par", F.col("results").alias("answer"))
         found = cascade.relevant_paragraphs(found, answers)
-    mentions = cascade.run_cascade(found, scorer, thresholds)
+    # dedup and every report read the mentions: they are written once
+    mentions = Workspace(sentences.sparkSession, "extract").save(cascade.run_cascade(found, scorer, thresholds))
     clusters = dedup.deduplicate(mentions) if deduplicate else dedup.without_dedup(mentions)
     return {"mentions": mentions, "clusters": clusters}
 
