@@ -3,7 +3,8 @@
 A phrase that begins and ends with a word character can only match from token edge to token edge, so each n-gram of
 a sentence, up to the lexicon's largest number of tokens, is a join key. Other phrases are looked up by their first
 word, which must be a whole token too. Only (sentence, phrase) pairs that pass get the exact regular expression, which
-gives spans as a left-to-right scan without overlaps does. Spark broadcasts the lexicon if its size allows it.
+gives spans as a left-to-right scan without overlaps does. The lexicon is measured first: up to ``BROADCAST_BYTES`` it
+is broadcast, and sentences don't move; beyond that both sides shuffle by key.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from quillspark.functions.text import annotate, quoted, starts_of
 from quillspark.operators.segment import SENTENCE_KEYS
 
 PIECE = r"(?U)(\w+|\W+)"
+#: Largest text of a lexicon, in bytes, that is sent to every executor.
+BROADCAST_BYTES = 32 << 20
 
 
 def contains(text: Column, phrase: Column) -> Column:
@@ -55,18 +58,18 @@ def match_lexicon(sentences: DataFrame, lexicon: DataFrame, keys: list[str] | No
     """
     keys = keys or SENTENCE_KEYS
     ready = prepare(lexicon)
-    most = ready.agg(F.max("tokens")).head()[0]
-    if most is None:
-        most = 1
+    most, held, signs_only = ready.agg(F.max("tokens"), F.sum(F.octet_length("phrase") + F.octet_length("low") + 64), F.count_if(F.col("key").isNull())).head()
+    most = most or 1
     per_document = "doc_id" in lexicon.columns
     on = ["key", "doc_id"] if per_document else ["key"]
     # the pieces are a column of their own, so that array functions don't split the text again for each element
     pieces = sentences.where("text IS NOT NULL").withColumn("pieces_", F.regexp_extract_all(F.lower("text"), F.lit(PIECE), F.lit(1)))
     exploded = pieces.withColumn("key", F.explode(_keys(F.col("pieces_"), most))).drop("pieces_")
     rows = ready.select(*on, "rank", "phrase", "kind", "low", "size")
-    found = exploded.join(rows.where("key IS NOT NULL"), on).drop("key")
-    signs = rows.where("key IS NULL").drop("key")
-    if signs.head(1):  # phrases of signs only: no token to join by
+    keyed = rows.where("key IS NOT NULL")
+    found = exploded.join(F.broadcast(keyed) if (held or 0) <= BROADCAST_BYTES else keyed, on).drop("key")
+    if signs_only:  # phrases of signs only: no token to join by
+        signs = rows.where("key IS NULL").drop("key")
         found = found.unionByName(sentences.join(signs, "doc_id") if per_document else sentences.crossJoin(signs))
     pattern = F.concat(F.lit(r"(?U)\b"), quoted("low"), F.lit(r"\b"))
     spans = found.withColumn("start", F.explode(starts_of(F.lower("text"), pattern, "size")))
