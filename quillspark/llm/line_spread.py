@@ -61,7 +61,9 @@ def remove_boilerplate(docs: DataFrame, spread: Spread | None = None, id_col: st
     lines = work.save(lines)
     spread_wide = work.save(boilerplate_lines(lines, spread))
     gone = lines.join(spread_wide, "digest_").where(F.struct("id_", "at_") != F.col("first_"))
-    gone = gone.groupBy(F.col("id_").alias("gone_id_")).agg(F.array_sort(F.collect_set("at_")).alias("gone_"))
+    gone = work.save(gone.groupBy(F.col("id_").alias("gone_id_")).agg(F.array_sort(F.collect_set("at_")).alias("gone_")))
+    work.drop(lines)
+    work.drop(spread_wide)
     split = F.split(F.col(text_col), "\n", -1)
     # the places of the lines that stay, by a hash-based difference, so that the work is linear in the lines
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone_"))

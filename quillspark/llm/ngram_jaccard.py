@@ -124,6 +124,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     keyed = texts.where("doc_id IS NOT NULL").mapInArrow(_keys(width, percent), "key long, u long, v long")
     candidates = work.save(keyed.repartition("key").mapInArrow(_edges, "u long, v long").distinct())
     clusters = connected_components(candidates)
+    work.drop(candidates)
     members = clusters.join(same.select(F.col("rep").alias("node"), "n"), "node")
     size = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("items")).where("m > 1")
     blocks = F.greatest(F.ceil(F.col("m") / block_rows), F.ceil(F.col("items") / block_items)).cast("long")
