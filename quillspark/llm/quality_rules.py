@@ -88,7 +88,7 @@ def measure(text: str | None, limits: Limits) -> dict:
         group = window_groups(ids, n)
         count = np.bincount(group) if len(group) else np.zeros(1, np.int64)
         if count.max(initial=0) < 2:
-            continue
+            break  # a longer n-gram that repeats would hold a shorter one that does
         if n in limits.top:
             best = np.flatnonzero(count == count.max())
             worth = max(int(sizes[covered(group == g, n, len(ids))].sum()) for g in best[:1])
