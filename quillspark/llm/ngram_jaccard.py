@@ -3,12 +3,17 @@
 The global order of the n-grams is the order of their hashes, which needs no counting pass, is the same in every
 task and cuts into even ranges. A document's sorted set is cut at fixed points of that order into fragments.
 
-1. Sizes fall into levels whose ends differ by at most 1 / threshold^2; a pair that can link shares a level. In a
+1. Sizes fall into levels whose ends differ by at most 1 / threshold; a pair that can link shares a level. In a
    level, linked sets differ in at most D elements, so of F > D fragments at least F - D are equal. Each fragment of
-   a set becomes one key. F exceeds D by some slack: only sets with more empty fragments than that also give keys
-   for empty ones, so that no link is lost and no key gathers documents for lacking n-grams.
-2. Keys are combined within each batch before the shuffle; a key met again gives an edge to its smallest document,
-   so a group of n copies makes n - 1 rows, not n^2. The components of those edges hold all candidate pairs.
+   a set that is not empty becomes one key. F exceeds D by 1 and some slack, so two sets of which one has no more
+   empty fragments than the slack share a key. Sets with more also give their first n-grams in the global order as
+   keys, one more than a linked set can lack, so two such sets share one of those. No key gathers documents for
+   lacking n-grams.
+2. A key of up to ``BUCKET`` documents gives its pairs. Equal sets become one node, and a pair stays only if its sets
+   differ in no more fragments than they may differ in elements, judged by one byte for each fragment; this removes
+   pairs that share a common n-gram alone. A key of more documents gives edges to its smallest one instead, n - 1 for
+   n documents; such keys are combined within each batch before the shuffle. The components of what is left hold all
+   pairs that can link.
 3. Sets that are equal count once from here on. A component is dealt into blocks of bounded size; each pair of
    blocks is one unit of work. In it the partial overlaps are counted fragment by fragment of the global order and
    summed for each pair, and a spanning forest of the links is kept, so no task returns all pairs of a group.
@@ -34,11 +39,17 @@ from quillspark.llm.shingles import GOLDEN, MIX_1, MIX_2, Shingler, mix
 from quillspark.plans.components import connected_components
 from quillspark.plans.storage import Workspace
 
-SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
+SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("marks", pa.binary())])
 KEYS = pa.schema([("key", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+BUCKETS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("large", pa.bool_())])
 MEMBERS = pa.schema([("cluster", pa.int64()), ("blocks", pa.int64()), ("block", pa.int64()), ("doc_id", pa.int64()), ("items", pa.binary())])
 
+#: Most ids of copies, 8 bytes each, that are sent to every executor.
+BROADCAST_IDS = 2_000_000
+#: Documents of a key that still gives all its pairs: at most 7.5 pairs for each document.
+BUCKET = 16
+
 
 @dataclass(frozen=True)
 class Level:
@@ -46,10 +57,11 @@ class Level:
     least: int
     most: int
     differ: int
+    percent: int
 
     @property
     def slack(self) -> int:
-        return 1 + self.differ // 16
+        return 2 + self.differ // 12
 
     @property
     def fragments(self) -> int:
@@ -65,44 +77,85 @@ class Levels:
     def _reach(self, n: int) -> list[Level]:
         while not self.all or self.all[-1].most < n * 100 // self.percent + 1:
             least = self.all[-1].most + 1 if self.all else 1
-            most = max(least, least * 10_000 // self.percent**2)
+            most = max(least, least * 100 // self.percent)
             differ = 2 * most * (100 - self.percent) // (100 + self.percent)
-            self.all.append(Level(len(self.all), least, most, differ))
+            self.all.append(Level(len(self.all), least, most, differ, self.percent))
         return self.all
 
     def of(self, n: int) -> list[Level]:
-        """The level of n, and those above in which larger partners can be."""
+        """The level of n, and those above in which larger partners can be; none where only equal sets can link."""
         if n not in self.known:
-            self.known[n] = [x for x in self._reach(n) if x.most >= n and 100 * n >= self.percent * x.least]
+            self.known[n] = [x for x in self._reach(n) if x.most >= n and 100 * n >= self.percent * x.least and x.differ]
         return self.known[n]
 
 
-def fragment_keys(items: np.ndarray, level: Level) -> np.ndarray:
-    """One 64-bit key for each fragment that the contract of ``Level`` asks for."""
+def _fragments(items: np.ndarray, level: Level) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the fragments that are not empty, and a key of each."""
     count = np.uint64(level.fragments)
     at = ((items >> np.uint64(32)) * count) >> np.uint64(32)
     starts = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
     used = at[starts]
     sums = np.add.reduceat(mix(items ^ np.uint64(MIX_1)), starts)
-    salt = used * np.uint64(GOLDEN) + np.uint64((level.no + 1) * MIX_2 % (1 << 64))
-    keys = mix(sums ^ mix(salt))
+    return used, mix(sums ^ mix(_salt(used, level)))
+
+
+def _salt(fragments: np.ndarray, level: Level) -> np.ndarray:
+    return fragments * np.uint64(GOLDEN) + np.uint64((level.no + 1) * MIX_2 % (1 << 64))
+
+
+def fragment_keys(items: np.ndarray, level: Level) -> np.ndarray:
+    """A 64-bit key for each fragment that is not empty; if more are empty than the slack, also for the first items."""
+    used, keys = _fragments(items, level)
     if level.fragments - len(used) > level.slack:
-        empty = np.setdiff1d(np.arange(level.fragments, dtype=np.uint64), used)
-        salt = empty * np.uint64(GOLDEN) + np.uint64((level.no + 1) * MIX_2 % (1 << 64))
-        keys = np.concatenate([keys, mix(mix(salt) ^ np.uint64(GOLDEN))])
+        first = len(items) - (level.percent * len(items) + 99) // 100 + 1
+        keys = np.concatenate([keys, mix(items[:first] ^ np.uint64(GOLDEN))])
     return keys
 
 
-def _star(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, the smallest document of each, and the distinct edges from it to the others."""
+def fragment_marks(items: np.ndarray, levels: list[Level]) -> bytes:
+    """One byte for each fragment of each level: 0 if it is empty, else a digest."""
+    out = []
+    for level in levels:
+        used, keys = _fragments(items, level)
+        marks = np.zeros(level.fragments, np.uint8)
+        marks[used.astype(np.int64)] = keys % np.uint64(255) + np.uint64(1)
+        out.append(marks.tobytes())
+    return b"".join(out)
+
+
+def can_link(n_a: int, marks_a: bytes, n_b: int, marks_b: bytes, levels: Levels) -> bool:
+    """Whether the sets may differ in as many elements as fragments differ, in a level that both have."""
+    differ = (n_a + n_b) * (100 - levels.percent) // (100 + levels.percent)
+    if 100 * min(n_a, n_b) < levels.percent * max(n_a, n_b):
+        return False
+    places = []
+    for n in (n_a, n_b):
+        start, found = 0, {}
+        for level in levels.of(n):
+            found[level.no] = (start, level.fragments)
+            start += level.fragments
+        places.append(found)
+    common = max(places[0].keys() & places[1].keys(), default=None)
+    if common is None:
+        return False
+    (a, size), (b, _) = places[0][common], places[1][common]
+    x, y = np.frombuffer(marks_a, np.uint8, size, a), np.frombuffer(marks_b, np.uint8, size, b)
+    return int(np.count_nonzero(x != y)) <= differ
+
+
+def _sorted(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, doc) rows in order, with the start of each row's key and the number of its documents."""
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
-    first = np.concatenate([[True], keys[1:] != keys[:-1]])
-    least = docs[first]
-    centre = least[np.cumsum(first) - 1]
-    other = centre != docs
-    edges = np.unique(np.stack([centre[other], docs[other]], 1), axis=0) if other.any() else np.empty((0, 2), np.int64)
-    return keys[first], least, edges
+    fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])])
+    keys, docs = keys[fresh], docs[fresh]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    size = np.diff(np.append(first, len(keys)))
+    return keys, docs, np.repeat(first, size), np.repeat(size, size)
+
+
+def _distinct(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.unique(np.stack([u, v], 1), axis=0) if len(u) else np.empty((0, 2), np.int64)
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 512, block_items: int = 250_000) -> DataFrame:
@@ -115,16 +168,29 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     spark = docs.sparkSession
     work = Workspace(spark, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = work.save(texts.mapInArrow(_sets(width), "doc_id long, n_shingles long, h1 long, h2 long"))
+    sets = work.save(texts.mapInArrow(_sets(width, percent), "doc_id long, n_shingles long, h1 long, h2 long, marks binary"))
 
     # equal sets have one representative, the smallest id
     full = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = work.save(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")))
 
-    keyed = texts.where("doc_id IS NOT NULL").mapInArrow(_keys(width, percent), "key long, u long, v long")
-    candidates = work.save(keyed.repartition("key").mapInArrow(_edges, "u long, v long").distinct())
+    # copies give the keys of their representative: they stay out (but for ids of several rows), by a broadcast of their
+    # ids if those are few, else by a join
+    copies = full.join(same.select("h1", "h2", "rep"), ["h1", "h2"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("rep").alias("rep"))
+    copies = work.save(copies.where("rows = 1 AND doc_id != rep").select("doc_id"))
+    few_copies = copies.count() <= BROADCAST_IDS
+    first = texts.where("doc_id IS NOT NULL").join(F.broadcast(copies) if few_copies else copies, "doc_id", "left_anti")
+    keyed = first.mapInArrow(_keys(width, percent), "key long, u long, v long")
+    buckets = keyed.repartition("key").mapInArrow(_edges, "u long, v long, large boolean").groupBy("u", "v").agg(F.max("large").alias("large"))
+    rep_of = full.join(same.select("h1", "h2", "rep"), ["h1", "h2"]).select("doc_id", "rep")
+    ends = buckets.join(rep_of.select(F.col("doc_id").alias("u"), F.col("rep").alias("a")), "u").join(rep_of.select(F.col("doc_id").alias("v"), F.col("rep").alias("b")), "v")
+    ends = work.save(ends.where("a != b").groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.max("large").alias("large")))
+    marks = full.select(F.col("doc_id").alias("id_"), F.col("n_shingles").alias("n_"), F.col("marks").alias("marks_"))
+    marks = marks.join(same.select(F.col("rep").alias("id_")), "id_", "left_semi").distinct()
+    few = ends.where("NOT large").select("u", "v")
+    few = few.join(marks.toDF("u", "n_u", "marks_u"), "u").join(marks.toDF("v", "n_v", "marks_v"), "v").select("u", "n_u", "marks_u", "v", "n_v", "marks_v")
+    candidates = few.mapInArrow(_likely(percent), "u long, v long").unionByName(ends.where("large").select("u", "v"))
     clusters = connected_components(candidates)
-    work.drop(candidates)
     members = clusters.join(same.select(F.col("rep").alias("node"), "n"), "node")
     size = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("items")).where("m > 1")
     blocks = F.greatest(F.ceil(F.col("m") / block_rows), F.ceil(F.col("items") / block_items)).cast("long")
@@ -147,15 +213,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     return found.unionByName(alone)
 
 
-def _sets(width: int):
+def _sets(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(width)
+        shingles, levels = Shingler(width), Levels(percent)
 
         def out():
             for doc, text in rows(batches):
                 items = shingles(text)
                 digest = xxhash.xxh3_128_digest(items.tobytes())
-                yield doc, len(items), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+                yield doc, len(items), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), fragment_marks(items, levels.of(len(items)) if len(items) else [])
 
         yield from batches_of(SETS, out())
 
@@ -169,10 +235,9 @@ def _keys(width: int, percent: int):
         for doc, text in rows(batches):
             items = shingles(text)
             for level in levels.of(len(items)) if len(items) else ():
-                if level.differ:  # else only equal sets can link
-                    keys.append(fragment_keys(items, level))
-                    docs.append(np.full(len(keys[-1]), doc, np.int64))
-                    held += len(keys[-1])
+                keys.append(fragment_keys(items, level))
+                docs.append(np.full(len(keys[-1]), doc, np.int64))
+                held += len(keys[-1])
             if held >= 1_000_000:
                 yield _combined(keys, docs)
                 keys, docs, held = [], [], 0
@@ -183,26 +248,51 @@ def _keys(width: int, percent: int):
 
 
 def _combined(keys: list[np.ndarray], docs: list[np.ndarray]) -> pa.RecordBatch:
-    key, least, edges = _star(np.concatenate(keys), np.concatenate(docs))
+    """Rows of keys; of a key with more than BUCKET documents one more than that, and edges for the others."""
+    key, doc, start, _ = _sorted(np.concatenate(keys), np.concatenate(docs))
+    kept = np.arange(len(key)) - start <= BUCKET
+    edges = _distinct(doc[start[~kept]], doc[~kept])
     spread = mix(edges[:, 0].astype(np.uint64) * np.uint64(GOLDEN) + edges[:, 1].astype(np.uint64))
-    none = pa.nulls(len(key), pa.int64())
-    columns = [pa.array(np.concatenate([key, spread]).view(np.int64)), pa.array(np.concatenate([least, edges[:, 0]])), pa.concat_arrays([none, pa.array(edges[:, 1])])]
+    none = pa.nulls(int(kept.sum()), pa.int64())
+    columns = [pa.array(np.concatenate([key[kept], spread]).view(np.int64)), pa.array(np.concatenate([doc[kept], edges[:, 0]])), pa.concat_arrays([none, pa.array(edges[:, 1])])]
     return pa.RecordBatch.from_arrays(columns, schema=KEYS)
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, docs = [], []
+
+    def out(edges: np.ndarray, large: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1]), pa.array(np.full(len(edges), large))], schema=BUCKETS)
+
     for batch in batches:
         known = batch.column(2).is_valid()
         if known.true_count:
             ready = batch.filter(known)
-            yield pa.RecordBatch.from_arrays([ready.column(1), ready.column(2)], schema=EDGES)
+            yield out(np.stack([ready.column(1).to_numpy(), ready.column(2).to_numpy()], 1), True)
             batch = batch.filter(batch.column(2).is_null())
         keys.append(batch.column(0).to_numpy())
         docs.append(batch.column(1).to_numpy())
     if keys and sum(map(len, keys)):
-        edges = _star(np.concatenate(keys), np.concatenate(docs))[2]
-        yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], schema=EDGES)
+        key, doc, start, size = _sorted(np.concatenate(keys), np.concatenate(docs))
+        star = (size > BUCKET) & (np.arange(len(key)) != start)
+        yield out(_distinct(doc[start[star]], doc[star]), True)
+        pairs = []
+        few = size <= BUCKET
+        for step in range(1, BUCKET):
+            i = np.flatnonzero(few[:-step] & (key[step:] == key[:-step])) if len(key) > step else np.empty(0, np.int64)
+            if not len(i):
+                break
+            pairs.append(np.stack([doc[i], doc[i + step]], 1))
+        if pairs:
+            yield out(np.unique(np.concatenate(pairs), axis=0), False)
+
+
+def _likely(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = Levels(percent)
+        yield from batches_of(EDGES, ((u, v) for u, n_u, marks_u, v, n_v, marks_v in rows(batches) if can_link(n_u, marks_u, n_v, marks_v, levels)))
+
+    return run
 
 
 def _members(width: int):

@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from quillspark.llm.ngram_jaccard import Levels, fragment_keys, jaccard_components, linked
+from quillspark.llm import ngram_jaccard
+from quillspark.llm.ngram_jaccard import Levels, can_link, fragment_keys, fragment_marks, jaccard_components, linked
 from quillspark.llm.shingles import Shingler
 
 from .brute import jaccard
@@ -25,8 +26,10 @@ def corpus(seed=1, n=160):
     return texts
 
 
-@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80), (2, 50)])
-def test_components_equal_brute_force(spark, width, percent):
+@pytest.mark.parametrize(("width", "percent", "bucket"), [(3, 90, 16), (5, 80, 16), (2, 50, 16), (3, 80, 1), (3, 80, 4)])
+def test_components_equal_brute_force(spark, monkeypatch, width, percent, bucket):
+    monkeypatch.setattr(ngram_jaccard, "BUCKET", bucket)
+    monkeypatch.setattr(ngram_jaccard, "BROADCAST_IDS", 0 if bucket == 4 else 1000)
     texts = corpus()
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, width, percent, block_rows=7, block_items=2000).collect()}
@@ -60,8 +63,10 @@ def test_linked_sets_share_a_key(percent):
             b = np.union1d(a[rng.permutation(len(a))[drop:]], rng.integers(0, 2**63, rng.integers(0, 2)).astype(np.uint64))
             shared = len(np.intersect1d(a, b))
             if 100 * shared >= percent * (len(a) + len(b) - shared):
-                keys = [{int(k) for level in levels.of(len(x)) if level.differ for k in fragment_keys(x, level)} for x in (a, b)]
+                keys = [{int(k) for level in levels.of(len(x)) for k in fragment_keys(x, level)} for x in (a, b)]
                 assert keys[0] & keys[1] or np.array_equal(a, b)
+                if keys[0] & keys[1]:
+                    assert can_link(len(a), fragment_marks(a, levels.of(len(a))), len(b), fragment_marks(b, levels.of(len(b))), levels)
 
 
 def test_partial_overlaps_sum_over_fragments():
