@@ -291,7 +291,7 @@ def name_blanking(spark, d):
 
 @query
 def new_thresholds(spark, d):
-    return cascade.apply_thresholds(_mentions(spark, d), 0.7, 0.5, 0.8).select("doc_id", "mention_id", "artifact_yes", "ownership", "reuse")
+    return cascade.apply_thresholds(_mentions(spark, d), 0.6, 0.5, 0.8).select("doc_id", "mention_id", "artifact_yes", "ownership", "reuse")
 
 
 # dedup

@@ -58,7 +58,7 @@ _no_noise = "NOT regexp_matches(u, '^(?:\\d+\\.?)+$') AND NOT regexp_matches(u,
 _keywords = ", ".join(map(q, DATA_PHRASES + SOFTWARE_PHRASES))
 MENTIONS = f"""
 urled AS (SELECT *, list_filter({_url}, lambda u: {_no_noise}) AS urls FROM numbered),
-asked AS (SELECT *, round(0.25 + CASE WHEN regexp_matches(text, {q(LICENSES)}) THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(text, {q(VERSION)}) THEN 0.2 ELSE 0 END
+asked AS (SELECT *, round(0.15 + CASE WHEN regexp_matches(text, {q(LICENSES)}) THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(text, {q(VERSION)}) THEN 0.2 ELSE 0 END
   + CASE WHEN regexp_matches(text, '\\b[A-Z]{{2,}}\\b') THEN 0.1 ELSE 0 END + CASE WHEN starts_with(kind, 'gaz_') THEN 0.2 ELSE 0 END, 6)::DOUBLE AS artifact_yes,
   CASE WHEN starts_with(kind, 'gaz_') THEN text[st + 1:en] ELSE nullif(regexp_extract(text[1:st], '([A-Z][A-Za-z0-9-]*(?: [A-Z][A-Za-z0-9-]*)*) $', 1), '') END AS raw_name,
   nullif(regexp_extract(text, {q(LICENSES)}, 1), '') AS lic, nullif(regexp_extract(text, {q(VERSION)}, 1), '') AS ver, urls[1] AS u1,
@@ -156,7 +156,7 @@ ORACLES: dict[str, str] = {
     "paragraph_filter": f"WITH {SENTS},{spans(ARTIFACT_LEXICON)},{NUMBERED} SELECT doc_id, 'C' || cand_no AS mention_id, type, NOT ((par % 3 = 1 AND type = 'dataset') OR (par % 3 = 2 AND type = 'software')) AS skipped FROM numbered",
     "validity_cascade": f"{ALL_MENTIONS} SELECT doc_id, mention_id, artifact_yes, valid, name, license, version, url, ownership_yes, ownership, reuse_yes, reuse FROM mentions",
     "name_blanking": "SELECT p_partkey, ['N/A', 'N/A', 'BIOMRC', 'Corpus x', 'N/A'][p_partkey % 5 + 1] AS name FROM part",
-    "new_thresholds": f"{ALL_MENTIONS} SELECT doc_id, mention_id, artifact_yes, CASE WHEN ownership_yes >= 0.5 THEN 'Yes' ELSE 'No' END AS ownership, CASE WHEN reuse_yes >= 0.8 THEN 'Yes' ELSE 'No' END AS reuse FROM mentions WHERE artifact_yes >= 0.7",
+    "new_thresholds": f"{ALL_MENTIONS} SELECT doc_id, mention_id, artifact_yes, CASE WHEN ownership_yes >= 0.5 THEN 'Yes' ELSE 'No' END AS ownership, CASE WHEN reuse_yes >= 0.8 THEN 'Yes' ELSE 'No' END AS reuse FROM mentions WHERE artifact_yes >= 0.6",
     "name_groups": f"{ALL_MENTIONS} SELECT doc_id, type, name, min(cand_no) AS first, count(*) AS n FROM mentions WHERE valid AND name IS NOT NULL GROUP BY ALL",
     "name_pairs": f"{ALL_MENTIONS}, g AS (SELECT doc_id, type, name, min(cand_no) AS f FROM mentions WHERE valid AND name IS NOT NULL GROUP BY ALL) SELECT a.doc_id, a.type, a.name AS name_a, b.name AS name_b FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.type = b.type AND (a.f, a.name) < (b.f, b.name)",
     "closest_citations": f"{CITED_MENTIONS} SELECT * FROM closest",

@@ -40,7 +40,7 @@ class RuleScorer:
         text = F.col("text")
         if name == "artifact":
             marks = [(text.rlike(LICENSES), 0.3), (text.rlike(VERSION), 0.2), (text.rlike(r"\b[A-Z]{2,}\b"), 0.1), (F.col("kind").startswith("gaz_"), 0.2)]
-            return F.round(sum((F.when(hit, w).otherwise(0.0) for hit, w in marks), F.lit(0.25)), 6)
+            return F.round(sum((F.when(hit, w).otherwise(0.0) for hit, w in marks), F.lit(0.15)), 6)
         pattern = {"ownership": OWNING, "reuse": USING}[name]
         return F.when(text.rlike(pattern), 0.9).otherwise(0.2)
 

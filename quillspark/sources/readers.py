@@ -29,9 +29,8 @@ def file_name(path: Column) -> Column:
 def text_files(spark: SparkSession, path: str, pattern: str | None = None, split: bool = False) -> DataFrame:
     """``doc_id, text_list``: one document for each file that fits the pattern. Without split the file is a single
     paragraph of its lines, line feeds kept; with split every line is a paragraph, still to be split."""
-    reader = spark.read.option("wholetext", True)
-    reader = reader.option("pathGlobFilter", pattern) if pattern else reader
-    raw = reader.text(path).select(file_name(F.input_file_name()).alias("doc_id"), F.col("value"))
+    reader = spark.read.option("pathGlobFilter", pattern) if pattern else spark.read
+    raw = reader.text(path, wholetext=True).select(file_name(F.input_file_name()).alias("doc_id"), F.col("value"))
     lines = F.regexp_extract_all("value", F.lit(r"[^\n]*\n|[^\n]+$"), F.lit(0))
     listed = F.transform(lines, lambda x: F.array(F.rtrim(F.regexp_replace(x, r"\n$", "")))) if split else F.array(lines)
     return raw.select("doc_id", listed.alias("text_list"))
