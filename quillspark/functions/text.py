@@ -200,6 +200,19 @@ def classify_logits(logits: Col, choices: list[str], top_k: int = 500) -> Column
     return relative_probabilities(F.transform(_c(logits), weights), choices)
 
 
+def multilabel_logits(logits_of: Col, top_k: int = 500) -> Column:
+    """Of a map from choice to logits, each choice's own probability of Yes."""
+    return F.transform_values(_c(logits_of), lambda _, v: F.element_at(classify_logits(v, ["Yes", "No"], top_k), "Yes"))
+
+
+def common(a: Col, b: Col) -> Column:
+    return F.array_intersect(_c(a), _c(b))
+
+
+def united(a: Col, b: Col) -> Column:
+    return F.array_union(_c(a), _c(b))
+
+
 def normalize_threshold(threshold: float, n: int) -> float:
     """Falls with the number of choices over two."""
     return threshold if n <= 2 else 2 * threshold / n

@@ -100,3 +100,26 @@ def test_evaluation(spark):
     assert (got["valid"].tp, got["valid"].fp, got["valid"].fn, got["valid"].f1) == (1, 1, 1, 0.5)
     assert (got["name"].exact, got["license"].exact, got["license"].lenient, got["version"].fn, got["ownership"].fp, got["url"].f1) == (1.0, 0.0, 1.0, 1, 1, 0.0)
     assert json.loads(evaluate.metrics_json(evaluate.evaluate(spark.createDataFrame(rows, ddl))).head().metrics)["valid"]["f1"] == 0.5
+
+
+def test_service(spark):
+    from quillspark.service import infer_text_list
+
+    body = {"text_list": [["this dataset is called BIOMRC"], ["BIOREAD is a dataset used to train the new MRC models"]]}
+    status, answer = infer_text_list(spark, json.dumps(body))
+    found = answer["research_artifacts"]["candidates_metadata"]
+    assert status == 200 and [(m["phrase"], m["par"], m["start"], m["end"]) for m in found.values()] == [("dataset", 0, 5, 12), ("dataset", 1, 13, 20), ("models", 1, 47, 53)]
+    status, answer = infer_text_list(spark, json.dumps(body | {"fast_mode": True}))
+    assert status == 200 and answer["research_artifacts"][1]["Candidates"] == "[dataset] : dataset | [software] : models"
+    assert infer_text_list(spark, json.dumps({"text_list": []}))[0] == 200
+    assert infer_text_list(spark, json.dumps(body | {"insert_fast_mode_gazetteers": True, "perform_deduplication": True}))[0] == 200
+    for bad in ({}, {"text_list": None}, {"text_list": [1]}):
+        assert infer_text_list(spark, json.dumps(bad))[0] == 422
+
+
+def test_multilabel(spark):
+    from quillspark.functions.text import common, multilabel_logits, united
+
+    row = spark.sql("SELECT map('a', array(array(named_struct('token', 'Yes', 'logit', 1D), named_struct('token', 'No', 'logit', 1D))), 'b', array(array(named_struct('token', 'No', 'logit', 2D)))) AS m, array(1, 2) AS x, array(2, 3) AS y")
+    got = row.select(multilabel_logits("m").alias("p"), common("x", "y").alias("c"), united("x", "y").alias("u")).head()
+    assert got.p == {"a": 0.5, "b": 0.0} and got.c == [2] and got.u == [1, 2, 3]
