@@ -28,6 +28,12 @@ def rows(batches: Iterable[pa.RecordBatch], step: int = 256) -> Iterator[tuple]:
             yield from zip(*(column.to_pylist() for column in part.columns), strict=True)
 
 
+def slices(batches: Iterable[pa.RecordBatch], step: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, for work on whole columns in bounded memory."""
+    for batch in batches:
+        yield from (batch.slice(at, step) for at in range(0, batch.num_rows, step))
+
+
 def groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """Runs of rows that agree in their first ``keys`` columns; the rows must be sorted by them."""
     now, found = None, []

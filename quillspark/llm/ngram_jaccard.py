@@ -238,7 +238,7 @@ def _keys(width: int, percent: int):
                 keys.append(fragment_keys(items, level))
                 docs.append(np.full(len(keys[-1]), doc, np.int64))
                 held += len(keys[-1])
-            if held >= 1_000_000:
+            if held >= 200_000:
                 yield _combined(keys, docs)
                 keys, docs, held = [], [], 0
         if held:

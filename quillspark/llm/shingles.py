@@ -27,7 +27,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Hashes of words, remembered up to a number of entries that bounds the memory."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 50_000):
         super().__init__()
         self.most = most
 

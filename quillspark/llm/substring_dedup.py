@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.llm._rows import slices
 from quillspark.plans.storage import Workspace
 
 REMOVED = "array<struct<at:long,start:long,end:long,keeper:long>>"
@@ -59,7 +60,7 @@ def _cut(text_at: int, gone_at: int):
     removed_type = pa.list_(pa.struct([("at", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("keeper", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, removed = [], []
             for text, gone in zip(batch.column(text_at).to_pylist(), batch.column(gone_at).to_pylist(), strict=True):
                 cut = cut_lines(text, {x["at_"]: x["keeper_"] for x in gone or ()})

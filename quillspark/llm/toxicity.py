@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._rows import batches_of, rows
+from quillspark.llm._rows import batches_of, rows, slices
 from quillspark.plans.storage import Workspace
 
 #: Letters of other scripts that look like Latin ones (fixed values).
@@ -233,7 +233,7 @@ def without_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lexicon(*state)
-        for batch in batches:
+        for batch in slices(batches):
             clean = [own.score(own.strength(text)[0]) < 0.5 for text in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
