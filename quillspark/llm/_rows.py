@@ -15,6 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Arrow batches of at most ``most`` bytes in this session, unless it has a smaller bound: texts can be long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(name)).removesuffix("b")
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(name, str(most))
+
+
 def worker_cache() -> dict:
     """Objects that a Python worker keeps from task to task."""
     return sys.modules.setdefault("_quillspark_worker", types.ModuleType("_quillspark_worker")).__dict__

@@ -26,7 +26,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm._rows import batches_of, rows, worker_cache
+from quillspark.llm._rows import batches_of, rows, small_batches, worker_cache
 
 HARD = re.compile(r"(?<=[\w.,;:!?'\"()-])[ \n]")
 LEAF_CHARS, LEAF_BYTES, LEAF_IDS, WINDOW = 1024, 128, 1024, 64
@@ -130,6 +130,7 @@ def encode_documents(docs: DataFrame, ranks, pattern: str, id_col: str = "doc_id
     other columns don't matter: rows are independent.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from array import array

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._rows import batches_of, forest, groups, rows
+from quillspark.llm._rows import batches_of, forest, groups, rows, small_batches
 from quillspark.llm.shingles import GOLDEN, MIX_1, MIX_2, Shingler, mix
 from quillspark.plans.components import connected_components
 from quillspark.plans.storage import Workspace
@@ -167,6 +167,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     """
     spark = docs.sparkSession
     work = Workspace(spark, "jaccard")
+    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = work.save(texts.mapInArrow(_sets(width, percent), "doc_id long, n_shingles long, h1 long, h2 long, marks binary"))
 
@@ -181,7 +182,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     few_copies = copies.count() <= BROADCAST_IDS
     first = texts.where("doc_id IS NOT NULL").join(F.broadcast(copies) if few_copies else copies, "doc_id", "left_anti")
     keyed = first.mapInArrow(_keys(width, percent), "key long, u long, v long")
-    buckets = keyed.repartition("key").mapInArrow(_edges, "u long, v long, large boolean").groupBy("u", "v").agg(F.max("large").alias("large"))
+    buckets = keyed.repartition("key").sortWithinPartitions("key", "u").mapInArrow(_edges, "u long, v long, large boolean").groupBy("u", "v").agg(F.max("large").alias("large"))
     rep_of = full.join(same.select("h1", "h2", "rep"), ["h1", "h2"]).select("doc_id", "rep")
     ends = buckets.join(rep_of.select(F.col("doc_id").alias("u"), F.col("rep").alias("a")), "u").join(rep_of.select(F.col("doc_id").alias("v"), F.col("rep").alias("b")), "v")
     ends = work.save(ends.where("a != b").groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.max("large").alias("large")))
@@ -259,25 +260,17 @@ def _combined(keys: list[np.ndarray], docs: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, docs = [], []
+    """Pairs and edges of rows sorted by key and document; of a key that goes on only its first rows are held."""
 
     def out(edges: np.ndarray, large: bool) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1]), pa.array(np.full(len(edges), large))], schema=BUCKETS)
 
-    for batch in batches:
-        known = batch.column(2).is_valid()
-        if known.true_count:
-            ready = batch.filter(known)
-            yield out(np.stack([ready.column(1).to_numpy(), ready.column(2).to_numpy()], 1), True)
-            batch = batch.filter(batch.column(2).is_null())
-        keys.append(batch.column(0).to_numpy())
-        docs.append(batch.column(1).to_numpy())
-    if keys and sum(map(len, keys)):
-        key, doc, start, size = _sorted(np.concatenate(keys), np.concatenate(docs))
+    def drain(keys: np.ndarray, docs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, doc, start, size = _sorted(keys, docs)
         star = (size > BUCKET) & (np.arange(len(key)) != start)
-        yield out(_distinct(doc[start[star]], doc[star]), True)
-        pairs = []
-        few = size <= BUCKET
+        if star.any():
+            yield out(_distinct(doc[start[star]], doc[star]), True)
+        pairs, few = [], size <= BUCKET
         for step in range(1, BUCKET):
             i = np.flatnonzero(few[:-step] & (key[step:] == key[:-step])) if len(key) > step else np.empty(0, np.int64)
             if not len(i):
@@ -286,6 +279,29 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if pairs:
             yield out(np.unique(np.concatenate(pairs), axis=0), False)
 
+    held_keys, held_docs = np.empty(0, np.int64), np.empty(0, np.int64)
+    for batch in batches:
+        known = batch.column(2).is_valid()
+        if known.true_count:
+            ready = batch.filter(known)
+            yield out(np.stack([ready.column(1).to_numpy(), ready.column(2).to_numpy()], 1), True)
+            batch = batch.filter(batch.column(2).is_null())
+        if not batch.num_rows:
+            continue
+        keys, docs = np.concatenate([held_keys, batch.column(0).to_numpy()]), np.concatenate([held_docs, batch.column(1).to_numpy()])
+        last = int(np.searchsorted(keys, keys[-1]))
+        if last:
+            yield from drain(keys[:last], docs[:last])
+        held_keys, held_docs = keys[last:], docs[last:]
+        if len(held_keys) > 4096:
+            kept = np.unique(held_docs)
+            if len(kept) > BUCKET + 1:
+                yield out(_distinct(np.full(len(kept) - BUCKET - 1, kept[0]), kept[BUCKET + 1 :]), True)
+            held_docs = kept[: BUCKET + 1]
+            held_keys = np.full(len(held_docs), keys[-1])
+    if len(held_keys):
+        yield from drain(held_keys, held_docs)
+
 
 def _likely(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._rows import batches_of, rows
+from quillspark.llm._rows import batches_of, rows, small_batches
 
 SYMBOLS = "#*$%&|<>"
 FACTOR = 0x9E3779B97F4A7C15
@@ -125,6 +125,7 @@ def quality_rules(docs: DataFrame, limits: Limits | None = None, id_col: str = "
     further columns don't matter.
     """
     limits = limits or Limits()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out():

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm._rows import slices
+from quillspark.llm._rows import slices, small_batches
 from quillspark.plans.storage import Workspace
 
 REMOVED = "array<struct<at:long,start:long,end:long,keeper:long>>"
@@ -48,6 +48,7 @@ def substring_dedup(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id"
     texts and rows with a null id stay as they are. Rows that repeat an id are one document and lose the same lines.
     """
     work = Workspace(docs.sparkSession, "units")
+    small_batches(docs.sparkSession)
     units = work.save(units_of(docs, min_words, id_col, text_col))
     gone = repeated_units(units).distinct().groupBy(F.col("id_").alias("gone_id_")).agg(F.array_sort(F.collect_list(F.struct("at_", "keeper_"))).alias("gone_"))
     joined = docs.join(gone, F.col(id_col) == F.col("gone_id_"), "left").select(*docs.columns, "gone_")

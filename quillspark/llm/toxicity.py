@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._rows import batches_of, rows, slices
+from quillspark.llm._rows import batches_of, rows, slices, small_batches
 from quillspark.plans.storage import Workspace
 
 #: Letters of other scripts that look like Latin ones (fixed values).
@@ -149,6 +149,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_label_rows: int = 20_000, max_
         known = known.where(F.pmod(F.xxhash64(F.lit("sample"), "id_"), F.lit(1_000_000)) < int(share * 1_000_000))
     texts = docs.select(F.col("doc_id").cast("long").alias("id_"), F.col("text").alias("text_")).where("text_ IS NOT NULL")
     # the sample's ids are bounded by max_label_rows, so texts need not move to meet them; its texts are read three times
+    small_batches(docs.sparkSession)
     sample = texts.join(F.broadcast(known), "id_").select("text_", (F.col("toxic_") > 0).alias("toxic_"))
     sample = Workspace(docs.sparkSession, "toxicity").save(sample)
     sizes = {bool(r[0]): r[1] for r in sample.groupBy("toxic_").count().collect()}
