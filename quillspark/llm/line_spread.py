@@ -68,6 +68,7 @@ def remove_boilerplate(docs: DataFrame, spread: Spread | None = None, id_col: st
     # the places of the lines that stay, by a hash-based difference, so that the work is linear in the lines
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone_"))
     text = F.when(F.col("gone_").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
-    joined = docs.join(gone, F.col(id_col) == F.col("gone_id_"), "left")
+    # the same join at every size: a broadcast of what goes would not last as it grows with the corpus
+    joined = docs.join(gone.hint("merge"), F.col(id_col) == F.col("gone_id_"), "left")
     kept = [F.col(c) if c != text_col else text.alias(text_col) for c in docs.columns]
     return joined.select(*kept, F.coalesce(F.size("gone_"), F.lit(0)).alias("removed_"))
