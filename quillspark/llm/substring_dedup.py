@@ -1,56 +1,100 @@
-"""Substring dedup by hashing lines.
-
-Units are lines. Each is normalised (white space collapsed, lower case), its 128-bit digest is grouped over the whole
-corpus, the occurrence with the smallest (rank, place) stays, and the others are removed from their texts. Offsets are
-code points of the original text. Units under a number of words are never removed: short lines repeat by chance.
+"""Substring dedup by hashing lines and runs of lines.
+
+Lines are normalised (white space collapsed, lower case). Units are runs of consecutive lines, blank ones passed over:
+from every line the shortest run forward, and to every line the shortest run backward, that reaches a number of words;
+a line of enough words is a run by itself. So of any run of whole lines that repeats and has enough words, every line
+lies in a unit that repeats. A unit's 128-bit digest is grouped over the whole corpus, the occurrence with the smallest
+(rank, place) stays, and the lines of the others are removed from their texts. Offsets are code points of the original
+text. Runs under a number of words are never removed: short lines repeat by chance.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from hashlib import md5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm._rows import slices, small_batches
+from quillspark.llm._rows import batches_of, slices, small_batches
 from quillspark.plans.storage import Workspace
 
 REMOVED = "array<struct<at:long,start:long,end:long,keeper:long>>"
+BLANK = "\t\n\v\f\r "
 
 
 def normalised(unit: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(unit, r"[\x20\x09-\x0D]+", " "), "^ | $", ""))
 
 
-def units_of(docs: DataFrame, min_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_, at_, digest_``: every line of enough words."""
-    split = F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("at_", "unit_")
-    units = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id_"), split).withColumn("unit_", normalised(F.col("unit_")))
+def runs_of(text: str, min_words: int) -> list[tuple[int, int, bytes]]:
+    """(first line, last line, digest) of the shortest runs of at least ``min_words`` words from and to every line."""
+    at, words, digests = [], [], []
+    for i, line in enumerate(text.split("\n")):
+        parts = line.lower().encode("utf-8", "surrogatepass").split()
+        if parts:
+            at.append(i)
+            words.append(len(parts))
+            digests.append(md5(b" ".join(parts)).digest())
+    found, low, total = set(), 0, 0
+    for high, n in enumerate(words):
+        total += n
+        while total >= min_words:  # no shorter run from ``low`` had the words
+            found.add((low, high))
+            total -= words[low]
+            low += 1
+        if low:  # the latest start from which the words suffice
+            found.add((low - 1, high))
+    return [(at[a], at[b], digests[a] if a == b else md5(b"".join(digests[a : b + 1])).digest()) for a, b in sorted(found)]
+
+
+def units_of(docs: DataFrame, min_words: int, id_col: str = "doc_id", text_col: str = "text", runs: bool = True) -> DataFrame:
+    """``id_, at_, to_, digest_``: first and last line of every unit, or of the lines alone that have enough words."""
+    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"))
+    if runs:
+        schema = T.StructType([known.schema["id_"], *T.StructType.fromDDL("at_ int, to_ int, digest_ binary").fields])
+        return known.where(F.col("text_").isNotNull()).mapInArrow(_units(min_words), schema)
+    units = known.select("id_", F.posexplode(F.split("text_", "\n", -1)).alias("at_", "unit_")).withColumn("unit_", normalised(F.col("unit_")))
     words = F.length("unit_") - F.length(F.replace("unit_", F.lit(" "), F.lit(""))) + 1
-    return units.where((words >= min_words) & (F.col("unit_") != "")).select("id_", "at_", F.unhex(F.md5("unit_")).alias("digest_"))
+    return units.where((words >= min_words) & (F.col("unit_") != "")).select("id_", "at_", F.col("at_").alias("to_"), F.unhex(F.md5("unit_")).alias("digest_"))
+
+
+def _units(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            schema = pa.schema([("id_", batch.schema.field(0).type), ("at_", pa.int32()), ("to_", pa.int32()), ("digest_", pa.binary())])
+            ids, texts = (column.to_pylist() for column in batch.columns)
+            yield from batches_of(schema, ((i, *unit) for i, text in zip(ids, texts, strict=True) for unit in runs_of(text, min_words)))
+
+    return run
 
 
 def repeated_units(units: DataFrame) -> DataFrame:
-    """``id_, at_, keeper_``: occurrences to remove, and the document that keeps the unit."""
-    place = F.struct("id_", "at_")
+    """``id_, at_, to_, keeper_``: occurrences to remove, and the document that keeps the unit.
+
+    An occurrence that begins inside the first one stays: it would take away lines of the unit that is kept.
+    """
+    place = F.struct("id_", "at_", "to_")
     found = units.groupBy("digest_").agg(F.min(place).alias("first_"), F.max(place).alias("last_")).where("first_ != last_")
-    return units.join(found.select("digest_", "first_"), "digest_").where(place != F.col("first_")).select("id_", "at_", F.col("first_.id_").alias("keeper_"))
+    later = (F.col("id_") != F.col("first_.id_")) | (F.col("at_") > F.col("first_.to_"))
+    return units.join(found.select("digest_", "first_"), "digest_").where(later).select("id_", "at_", "to_", F.col("first_.id_").alias("keeper_"))
 
 
-def substring_dedup(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text", runs: bool = True) -> DataFrame:
     """The input's rows and columns with repeated units removed from the text, and what was removed.
 
     Adds ``removed_``: an array of (at, start, end, keeper) in order, with the line's number, its half-open span of
-    code points in the original text, and the id that keeps the unit; empty where nothing went. Removed lines go with
-    their line feed. Documents rank by id, so the smallest id keeps a unit; within one, the first line. Null and empty
-    texts and rows with a null id stay as they are. Rows that repeat an id are one document and lose the same lines.
+    code points in the original text, and the smallest id that keeps a unit of the line; empty where nothing went.
+    Removed lines go with their line feed, blank lines stay. Documents rank by id, so the smallest id keeps a unit;
+    within one, the first place. Null and empty texts and rows with a null id stay as they are. Rows that repeat an id
+    are one document and lose the same lines. Without ``runs``, only single lines of ``min_words`` words are units.
     """
     work = Workspace(docs.sparkSession, "units")
     small_batches(docs.sparkSession)
-    units = work.save(units_of(docs, min_words, id_col, text_col))
-    gone = repeated_units(units).distinct().groupBy(F.col("id_").alias("gone_id_")).agg(F.array_sort(F.collect_list(F.struct("at_", "keeper_"))).alias("gone_"))
+    units = work.save(units_of(docs, min_words, id_col, text_col, runs))
+    gone = repeated_units(units).distinct().groupBy(F.col("id_").alias("gone_id_")).agg(F.array_sort(F.collect_list(F.struct("at_", "to_", "keeper_"))).alias("gone_"))
     joined = docs.join(gone, F.col(id_col) == F.col("gone_id_"), "left").select(*docs.columns, "gone_")
     names = [name.lower() for name in docs.columns]
     schema = T.StructType([*docs.schema.fields, T.StructField("removed_", T.DataType.fromDDL(REMOVED))])
@@ -64,7 +108,7 @@ def _cut(text_at: int, gone_at: int):
         for batch in slices(batches):
             texts, removed = [], []
             for text, gone in zip(batch.column(text_at).to_pylist(), batch.column(gone_at).to_pylist(), strict=True):
-                cut = cut_lines(text, {x["at_"]: x["keeper_"] for x in gone or ()})
+                cut = cut_lines(text, keepers(gone or ()))
                 texts.append(cut[0])
                 removed.append(cut[1])
             columns = list(batch.columns)[:gone_at]
@@ -74,13 +118,22 @@ def _cut(text_at: int, gone_at: int):
     return run
 
 
+def keepers(gone: Iterable[dict]) -> dict[int, int]:
+    """The smallest keeper of each line that lies in one of the removed runs."""
+    found: dict[int, int] = {}
+    for x in gone:
+        for at in range(x["at_"], x["to_"] + 1):
+            found[at] = min(x["keeper_"], found.get(at, x["keeper_"]))
+    return found
+
+
 def cut_lines(text: str | None, gone: dict[int, int]) -> tuple[str | None, list[dict]]:
-    """The text without the numbered lines, and their spans in the whole text."""
+    """The text without the numbered lines that are not blank, and their spans in the whole text."""
     if text is None or not gone:
         return text, []
     kept, removed, start = [], [], 0
     for at, line in enumerate(text.split("\n")):
-        if at in gone:
+        if at in gone and line.strip(BLANK):
             removed.append({"at": at, "start": start, "end": start + len(line), "keeper": gone[at]})
         else:
             kept.append(line)
