@@ -2,7 +2,8 @@
 
 The words of a text become exact ids. For each n-gram length a rolling hash gives all windows one number; windows of
 one hash are compared word by word, so a collision can't count as a repetition. Coverage is the share of the text's
-word characters inside duplicated n-grams, inside the most frequent n-gram, and inside duplicated lines.
+word characters inside duplicated n-grams, inside the most frequent n-gram, and inside duplicated lines. Of n-grams
+that tie for the most frequent, the one that covers most characters counts.
 """
 
 from __future__ import annotations
@@ -64,6 +65,16 @@ def covered(inside: np.ndarray, n: int, words: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
+def widest(group: np.ndarray, chosen: np.ndarray, n: int, sizes: np.ndarray) -> int:
+    """The most characters that the n-word windows of one of the chosen groups cover; overlaps count once."""
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.flatnonzero(chosen[group])
+    at = at[np.argsort(group[at], kind="stable")]
+    new = np.diff(group[at], prepend=-1) != 0
+    begin = np.where(new, at, np.maximum(at, np.roll(at, 1) + n))
+    return int(np.add.reduceat(upto[at + n] - upto[begin], np.flatnonzero(new)).max())
+
+
 def measure(text: str | None, limits: Limits) -> dict:
     """Counts and coverages of one text; a null text counts as an empty one."""
     text = text or ""
@@ -90,8 +101,8 @@ def measure(text: str | None, limits: Limits) -> dict:
         if count.max(initial=0) < 2:
             break  # a longer n-gram that repeats would hold a shorter one that does
         if n in limits.top:
-            best = np.flatnonzero(count == count.max())
-            worth = max(int(sizes[covered(group == g, n, len(ids))].sum()) for g in best[:1])
+            worth = widest(group, count == count.max(), n, sizes)
+            out[f"top_{n}"] = worth / chars
             if worth > limits.top[n] * chars:
                 failed.append(f"top_{n}")
         if n == 8:

@@ -22,6 +22,34 @@ def test_counts_equal_brute_force(text):
         assert abs(share * max(1, m["word_chars"]) - repeated_chars(words, n)) < 1e-6
 
 
+def top_chars(words, n):
+    """The largest number of characters inside one of the most frequent n-grams; 0 if none repeats."""
+    places = {}
+    for i in range(len(words) - n + 1):
+        places.setdefault(tuple(words[i : i + n]), []).append(i)
+    most = max(map(len, places.values()), default=0)
+    if most < 2:
+        return 0
+    return max(sum(len(words[j]) for j in {i + k for i in at for k in range(n)}) for at in places.values() if len(at) == most)
+
+
+@settings(max_examples=300, deadline=None)
+@given(TEXTS)
+def test_most_frequent_of_ties_equals_brute_force(text):
+    m = q.measure(text, q.Limits())
+    words = WORD.findall(text)
+    for n in (2, 3, 4):
+        assert abs(m.get(f"top_{n}", 0.0) * max(1, m["word_chars"]) - top_chars(words, n)) < 1e-6
+
+
+def test_widest_of_ties_decides():
+    rest = " ".join(f"w{i}" for i in range(60))
+    pairs = ["a b", "extraordinarily longwinded", "c d"]
+    for turn in range(3):
+        found = " ".join(f"{p} x{turn}{k}{i}" for k in range(3) for i, p in enumerate(pairs[turn:] + pairs[:turn]))
+        assert q.measure(f"{found} {rest}", q.Limits())["failed_rules"] == ["top_2"]
+
+
 def test_colliding_hashes_do_not_count(monkeypatch):
     ids = np.array([random.Random(1).randrange(9) for _ in range(200)])
     want = q.window_groups(ids, 3)
