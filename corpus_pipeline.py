@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import bpe
 from quillspark.llm._rows import table
 from quillspark.llm.line_spread import remove_boilerplate
-from quillspark.llm.mixing import in_mixed_order
+from quillspark.llm.mixing import in_mixed_order, mix_sources
 from quillspark.llm.ngram_jaccard import jaccard_components
 from quillspark.llm.sql import VOCABULARY, WEIGHTS
 from quillspark.llm.toxicity import learn, without_toxic
@@ -41,10 +41,18 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed token ids of every text, and the digest of the bytes that they decode to."""
+    """Packed token ids of every text, the digest of the bytes that they decode to, and the text's place in the mix.
+
+    Files are not read in the order in which they were written, so the places are computed again: they depend on the
+    rows only. The rows are sorted by them.
+    """
     ranks, pattern = bpe.read_ranks(spark, public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN
-    decoded = bpe.decode_documents(bpe.encode_documents(docs, ranks, pattern), ranks, pattern)
-    return decoded.select("doc_id", bpe.count_ids("ids").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    place = ("slot_", "start_")
+    placed = mix_sources(docs, WEIGHTS).orderBy(*place)  # encoding keeps the order, and moves no ids
+    decoded = bpe.decode_documents(bpe.encode_documents(placed, ranks, pattern, keep=place), ranks, pattern, keep=place)
+    return decoded.select(
+        "doc_id", bpe.count_ids("ids").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), F.col("slot_").alias("slot"), F.col("start_").alias("start")
+    )
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mixing", mixing), ("tokens", tokens)]

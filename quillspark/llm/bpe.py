@@ -123,13 +123,13 @@ def _encoder(ranks, pattern: str) -> TreeEncoder:
     return held["bpe"]
 
 
-def encode_documents(docs: DataFrame, ranks, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, ranks, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, ids``: the token ids of each whole text, packed as little-endian unsigned 32-bit integers.
 
-    One row for each input row. Null and empty texts have no ids (an empty binary). Repeated rows, null ids and
+    One row for each input row, in the input's order, and with its long columns ``keep``. Null and empty texts have no ids (an empty binary). Repeated rows, null ids and
     other columns don't matter: rows are independent.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), *((c, pa.int64()) for c in keep)])
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,14 +144,15 @@ def encode_documents(docs: DataFrame, ranks, pattern: str, id_col: str = "doc_id
                 packed.byteswap()
             return packed.tobytes()
 
-        yield from batches_of(schema, ((doc, pack(encoder.encode(text))) for doc, text in rows(batches)))
+        yield from batches_of(schema, ((doc, pack(encoder.encode(text)), *more) for doc, text, *more in rows(batches)))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    kept = [F.col(c).cast("long").alias(c) for c in keep]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *kept).mapInArrow(run, ", ".join(["doc_id long, ids binary", *(f"{c} long" for c in keep)]))
 
 
-def decode_documents(encoded: DataFrame, ranks, pattern: str) -> DataFrame:
-    """``doc_id, ids, decoded``: the bytes of the ids of ``encode_documents``; null ids give no bytes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
+def decode_documents(encoded: DataFrame, ranks, pattern: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, ids, decoded``, and ``keep``: the bytes of the ids of ``encode_documents``; null ids give no bytes."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary()), *((c, pa.int64()) for c in keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from array import array
@@ -165,9 +166,9 @@ def decode_documents(encoded: DataFrame, ranks, pattern: str) -> DataFrame:
                 ids.byteswap()
             return ids.tolist()
 
-        yield from batches_of(schema, ((doc, packed, encoder.decode(unpack(packed))) for doc, packed in rows(batches)))
+        yield from batches_of(schema, ((doc, packed, encoder.decode(unpack(packed)), *more) for doc, packed, *more in rows(batches)))
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return encoded.select("doc_id", "ids", *keep).mapInArrow(run, ", ".join(["doc_id long, ids binary, decoded binary", *(f"{c} long" for c in keep)]))
 
 
 def count_ids(packed: str | Column) -> Column:

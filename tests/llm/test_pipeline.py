@@ -6,6 +6,9 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
+from quillspark.llm.mixing import mix_sources  # noqa: E402
+from quillspark.llm.sql import WEIGHTS  # noqa: E402
+
 from .brute import jaccard  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -37,6 +40,24 @@ def test_stages_one_by_one(spark, tmp_path):
     assert got == after
 
 
+def test_tokens_come_in_the_order_of_the_mix(spark, tmp_path):
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    documents.orderBy("doc_id").limit(90).repartition(9).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    want = sorted((r.slot_, r.start_, r.doc_id) for r in mix_sources(docs, WEIGHTS).collect())
+    assert [(r.slot, r.start, r.doc_id) for r in corpus_pipeline.tokens(spark, docs, SF).collect()] == want
+
+
+def test_run_on_several_files_keeps_the_mix(spark):
+    name = "spark.sql.files.maxRecordsPerFile"
+    spark.conf.set(name, "15")
+    try:
+        found = [(r.slot, r.start) for r in corpus_pipeline.run(spark, SF).collect()]
+    finally:
+        spark.conf.unset(name)
+    assert len(found) > 100 and found == sorted(set(found))
+
+
 def test_odd_rows(spark, tmp_path):
     rows = [(1, "a b c d e f g", None, None, None), (2, None, "en", "src1", 0), (None, "x", "en", "src1", 1), (3, "", "en", None, 0), (4, "a b c d e f g", "en", "src2", 2), (4, "a b c d e f g", "en", "src2", 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
