@@ -8,13 +8,32 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def col(name: str) -> Column:
+    """The column of exactly this name, whatever signs it holds."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The columns under plain names, since rows can't go to Python under names with dots."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def free(wanted: str, taken: Iterable[str]) -> str:
+    """The name with as many underscores at its end as it needs to differ from all names taken, whatever the case."""
+    held = {name.lower() for name in taken}
+    while wanted.lower() in held:
+        wanted += "_"
+    return wanted
+
+
 def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Arrow batches of at most ``most`` bytes in this session, unless it has a smaller bound: texts can be long."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -55,7 +74,7 @@ def groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple
         yield now, found
 
 
-def batches_of(schema: pa.Schema, out: Iterable[tuple], size: int = 4096, max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def batches_of(schema: pa.Schema, out: Iterable[tuple], size: int = 4096, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches of at most ``size`` tuples and about ``max_bytes`` of strings and binaries."""
     pending, held = [], 0
     for row in out:

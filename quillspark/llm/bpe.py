@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding as a monoid tree reduction.
 
-A text is halved down to leaves of bounded length; each leaf is encoded alone, then neighbours are joined up the
-tree. A join encodes a window around the cut again and grows it until the tokens outside provably stay:
+A text is halved down to leaves of at most ``LEAF_CHARS`` characters; a leaf is encoded alone, then neighbours are
+joined up the tree. A join encodes a window around the cut again and grows it until the tokens outside provably stay:
 
 * Between a character that is no white space and a space or line feed after it, the splitting pattern always ends a
   match, and what it matches on either side depends on that side alone (no alternative spans the place, and the one
@@ -17,8 +17,11 @@ Decoding halves the ids the same way and concatenates bytes up the tree, which n
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
+from array import array
 from collections.abc import Iterator
+from sys import byteorder
 
 import pyarrow as pa
 import regex
@@ -26,58 +29,79 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm._rows import batches_of, rows, small_batches, worker_cache
+from quillspark.llm._rows import batches_of, col, rows, small_batches, worker_cache
 
 HARD = re.compile(r"(?<=[\w.,;:!?'\"()-])[ \n]")
-LEAF_CHARS, LEAF_BYTES, LEAF_IDS, WINDOW = 1024, 128, 1024, 64
+LEAF_CHARS, LEAF_BYTES, LEAF_IDS, WINDOW = 128, 128, 1024, 32
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines()) if token}
 
 
+def last_hard(text: str, low: int, high: int, after: int) -> int | None:
+    """The last place before ``high`` where matches on either side are independent, not before ``low`` and behind ``after``."""
+    while True:
+        high = max(text.rfind(" ", low, high), text.rfind("\n", low, high))
+        if high <= after:
+            return None
+        if HARD.match(text, high):
+            return high
+
+
 class TreeEncoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.base = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.leaf = self.base.encode_ordinary
+        self.sizes = array("I", bytes(4 * (max(ranks.values(), default=0) + 1)))
+        for token, rank in ranks.items():
+            self.sizes[rank] = len(token)
 
     def encode(self, text: str | None) -> list[int]:
         return self._span(text, 0, len(text)) if text else []
 
     def _span(self, text: str, i: int, j: int) -> list[int]:
-        if j - i <= LEAF_CHARS:
-            return self.leaf(text[i:j])
-        if not HARD.search(text, i + 1, j):
-            return self._run(text[i:j])
+        if j - i <= LEAF_CHARS or not HARD.search(text, i + 1, j):
+            return self._run(text, i, j)
         mid = (i + j) // 2
         return self._join(text, i, mid, j, self._span(text, i, mid), self._span(text, mid, j))
 
     def _join(self, text: str, i: int, mid: int, j: int, left: list[int], right: list[int]) -> list[int]:
-        if HARD.match(text, mid):
-            return left + right
-        start, end, width = None, None, WINDOW
+        start, end, width = (mid, mid, 0) if HARD.match(text, mid) else (None, None, WINDOW)
         while start is None or end is None:
             if start is None:
                 low = max(i, mid - width)
-                places = [m.start() for m in HARD.finditer(text, low, mid) if m.start() > i]
-                start = places[-1] if places else i if low == i else None
+                start = last_hard(text, low, mid, i)
+                if start is None and low == i:
+                    start = i
             if end is None:
                 high = min(j, mid + width)
                 place = HARD.search(text, mid + 1, high)
                 end = place.start() if place else j if high == j else None
             width *= 2
-        keep_left = left[: len(left) - len(self._window(text[start:mid]))] if start > i else []
-        keep_right = right[len(self._window(text[mid:end])) :] if end < j else []
-        return keep_left + self._window(text[start:end]) + keep_right
-
-    def _window(self, text: str) -> list[int]:
-        return self.leaf(text) if len(text) <= LEAF_CHARS else self._run(text)
-
-    def _run(self, text: str) -> list[int]:
+        # a token boundary is certain at both ends of the window, so its old tokens are those of as many bytes
+        size, gone = len(text[start:mid].encode("utf-8")), 0
+        while size > 0:
+            gone += 1
+            size -= self.sizes[left[-gone]]
+        del left[len(left) - gone :]
+        if start < end:
+            left += self._run(text, start, end)
+        size, gone = len(text[mid:end].encode("utf-8")), 0
+        while size > 0:
+            size -= self.sizes[right[gone]]
+            gone += 1
+        left += right[gone:] if gone else right
+        return left
+
+    def _run(self, text: str, i: int, j: int) -> list[int]:
+        """The encoding of a part of a text alone: of a leaf at once, of a longer one by the pattern's matches in it."""
+        if j - i <= LEAF_CHARS:
+            return self.leaf(text[i:j])
         out = []
-        for piece in self.pattern.findall(text):
-            data = piece.encode("utf-8")
+        for match in self.pattern.findall(text[i:j]):
+            data = match.encode("utf-8")
             whole = self.ranks.get(data)
             out += self.piece(data) if whole is None else [whole]
         return out
@@ -109,6 +133,21 @@ class TreeEncoder:
         return self.decode(ids[:mid]) + self.decode(ids[mid:])
 
 
+def pack(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    packed = array("I", ids)
+    if byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
+def unpack(packed: bytes | None) -> list[int]:
+    ids = array("I", packed or b"")
+    if byteorder == "big":
+        ids.byteswap()
+    return ids.tolist()
+
+
 def read_ranks(spark: SparkSession, path: str):
     """The rank file of the driver, for all executors; vocabularies are a few MB at most."""
     with open(path, "rb") as f:
@@ -116,59 +155,64 @@ def read_ranks(spark: SparkSession, path: str):
 
 
 def _encoder(ranks, pattern: str) -> TreeEncoder:
+    """The worker's encoder; a worker holds one at a time."""
     held = worker_cache()
     key = ("bpe", ranks.id if hasattr(ranks, "id") else 0, pattern, len(ranks.value))
     if held.get("bpe_key") != key:
+        held.pop("bpe", None)
         held["bpe_key"], held["bpe"] = key, TreeEncoder(parse_ranks(ranks.value), pattern)
     return held["bpe"]
 
 
-def encode_documents(docs: DataFrame, ranks, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, ids``: the token ids of each whole text, packed as little-endian unsigned 32-bit integers.
+def _mapped(df: DataFrame, fields: list[tuple[str, str, pa.DataType]], keep: tuple[str, ...], of_row, ranks, pattern: str) -> DataFrame:
+    """``fields`` by ``of_row(encoder, second column)`` after the first column, then the long columns ``keep``."""
+    columns = [*fields, *((c, "long", pa.int64()) for c in keep)]
+    schema = pa.schema([(name, kind) for name, _, kind in columns])
 
-    One row for each input row, in the input's order, and with its long columns ``keep``. Null and empty texts have no ids (an empty binary). Repeated rows, null ids and
-    other columns don't matter: rows are independent.
-    """
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), *((c, pa.int64()) for c in keep)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(ranks, pattern)
+        yield from batches_of(schema, ((doc, *of_row(encoder, given), *more) for doc, given, *more in rows(batches, step=64)))
+
+    return df.mapInArrow(run, ", ".join(f"`{name}` {kind}" for name, kind, _ in columns))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
     small_batches(docs.sparkSession)
+    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"), *(col(c).cast("long").alias(c) for c in keep))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from array import array
-        from sys import byteorder
 
-        encoder = _encoder(ranks, pattern)
+DOC, IDS, DECODED = ("doc_id", "long", pa.int64()), ("ids", "binary", pa.binary()), ("decoded", "binary", pa.binary())
+COUNT, IDS_SHA, DECODED_SHA = ("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())
 
-        def pack(ids: list[int]) -> bytes:
-            packed = array("I", ids)
-            if byteorder == "big":
-                packed.byteswap()
-            return packed.tobytes()
 
-        yield from batches_of(schema, ((doc, pack(encoder.encode(text)), *more) for doc, text, *more in rows(batches)))
+def encode_documents(docs: DataFrame, ranks, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, ids``: the token ids of each whole text, packed as little-endian unsigned 32-bit integers.
 
-    kept = [F.col(c).cast("long").alias(c) for c in keep]
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *kept).mapInArrow(run, ", ".join(["doc_id long, ids binary", *(f"{c} long" for c in keep)]))
+    One row for each input row, in the input's order, and with its long columns ``keep``. Null and empty texts have no
+    ids (an empty binary). Repeated rows, null ids and other columns don't matter: rows are independent.
+    """
+    return _mapped(_texts(docs, id_col, text_col, keep), [DOC, IDS], keep, lambda e, text: (pack(e.encode(text)),), ranks, pattern)
 
 
 def decode_documents(encoded: DataFrame, ranks, pattern: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, ids, decoded``, and ``keep``: the bytes of the ids of ``encode_documents``; null ids give no bytes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary()), *((c, pa.int64()) for c in keep)])
+    given = encoded.select("doc_id", "ids", *keep)
+    return _mapped(given, [DOC, IDS, DECODED], keep, lambda e, packed: (packed, e.decode(unpack(packed))), ranks, pattern)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from array import array
-        from sys import byteorder
 
-        encoder = _encoder(ranks, pattern)
+def round_trip(docs: DataFrame, ranks, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_ids: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``, the packed ids if wanted, and ``keep``.
 
-        def unpack(packed: bytes | None) -> list[int]:
-            ids = array("I", packed or b"")
-            if byteorder == "big":
-                ids.byteswap()
-            return ids.tolist()
+    Encodes each text and decodes its packed ids again in one worker, which builds one encoder. Rows are as those of
+    ``encode_documents``: null and empty texts have no ids and the digests of nothing.
+    """
 
-        yield from batches_of(schema, ((doc, packed, encoder.decode(unpack(packed)), *more) for doc, packed, *more in rows(batches)))
+    def both(e: TreeEncoder, text: str | None) -> tuple:
+        ids = pack(e.encode(text))
+        decoded = e.decode(unpack(ids))
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), *([ids] if with_ids else [])
 
-    return encoded.select("doc_id", "ids", *keep).mapInArrow(run, ", ".join(["doc_id long, ids binary, decoded binary", *(f"{c} long" for c in keep)]))
+    return _mapped(_texts(docs, id_col, text_col, keep), [DOC, COUNT, IDS_SHA, DECODED_SHA, *([IDS] if with_ids else [])], keep, both, ranks, pattern)
 
 
 def count_ids(packed: str | Column) -> Column:

@@ -50,7 +50,7 @@ def op3_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = bpe.read_ranks(spark, public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN
-    return bpe.digests(bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, pattern)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,22 +76,11 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text that is left of each document, and the spans that went: line number, start and end, keeper's id.
-
-    Units are single lines, as its SQL has them; ``op10_passage_dedup`` also takes runs of lines.
-    """
-    return _without_repeats(spark, sf_dir, runs=False)
-
-
-def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same columns, with runs of lines as units."""
-    return _without_repeats(spark, sf_dir, runs=True)
-
-
-def _without_repeats(spark: SparkSession, sf_dir: str, runs: bool) -> DataFrame:
-    kept = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), runs=runs)
-    spans = F.array_join(F.transform("removed_", lambda x: F.concat_ws(":", x["at"], x["start"], x["end"], x["keeper"])), ",")
-    return kept.select("doc_id", "text", F.size("removed_").cast("long").alias("n_removed"), spans.alias("removed_spans"))
+    """The text that is left of each document, and the runs that went: start, end, words and keeper's id."""
+    kept = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.array_join(F.transform("removed_", lambda x: F.concat_ws(":", x["start"], x["end"], x["words"], x["keeper"])), ",")
+    words = F.aggregate("removed_", F.lit(0).cast("long"), lambda n, x: n + x["words"])
+    return kept.select("doc_id", "text", F.size("removed_").cast("long").alias("n_removed"), words.alias("n_words_removed"), spans.alias("removed_spans"))
 
 
 QUERIES = {
@@ -105,7 +94,6 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_substring_dedup": op10_substring_dedup,
-    "op10_passage_dedup": op10_passage_dedup,
 }
 
 ORACLES = oracles()

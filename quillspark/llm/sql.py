@@ -129,17 +129,32 @@ SELECT doc_id, source, begin // {BLOCK_CHARS} AS block, ((begin // {BLOCK_CHARS}
 FROM placed JOIN frame f ON f.g = placed.g AND f.j = (begin // {BLOCK_CHARS}) % f.p"""
 
 
-def substring_sql(min_words: int = 20) -> str:
+def substring_sql(min_words: int = 25) -> str:
+    """Pieces by running counts, units by their texts, runs by gaps and islands."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return f"""
-WITH units AS (SELECT doc_id, pos, part[pos] AS raw, lower(regexp_replace(regexp_replace(part[pos], '{BLANK}+', ' ', 'g'), '^ | $', '', 'g')) AS unit
-  FROM (SELECT doc_id, part, unnest(range(1, len(part) + 1)) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS part FROM documents))),
-placed AS (SELECT *, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
-  unit != '' AND len(string_split(unit, ' ')) >= {min_words} AS big FROM units),
-firsts AS (SELECT unit, min((doc_id, pos)) AS first FROM placed WHERE big GROUP BY unit),
-flagged AS (SELECT p.*, coalesce(p.big AND (p.doc_id, p.pos) != f.first, false) AS gone, f.first[1] AS keeper FROM placed p LEFT JOIN firsts f ON p.big AND p.unit = f.unit)
-SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text, count(*) FILTER (gone)::BIGINT AS n_removed,
-  coalesce(string_agg(concat_ws(':', pos - 1, start, start + length(raw), keeper), ',' ORDER BY pos) FILTER (gone), '') AS removed_spans
-FROM flagged GROUP BY doc_id"""
+WITH parts AS (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS ord FROM (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS ps FROM documents)),
+signs AS (SELECT doc_id, ord, ps[ord] AS sign, regexp_matches(ps[ord], '^[^\\x20\\x09-\\x0D]') AS word, coalesce(ps[ord + 1], '') AS after, ord = len(ps) OR (ord = len(ps) - 1 AND NOT regexp_matches(ps[len(ps)], '^[^\\x20\\x09-\\x0D]')) AS ends_text,
+  ord <= 2 AND (ord = 1 OR NOT regexp_matches(ps[1], '^[^\\x20\\x09-\\x0D]')) OR contains(coalesce(ps[ord - 1], ''), chr(10)) AS begins_line, sum(length(ps[ord])) OVER (PARTITION BY doc_id ORDER BY ord)::BIGINT AS upto FROM parts),
+words AS (SELECT *, translate(sign, '{upper}', '{upper.lower()}') AS low FROM signs WHERE word),
+cut AS (SELECT *, (md5(low)[1] IN ('0', '1', '2') OR ends_text OR contains(after, chr(10)))::INT AS ends FROM words),
+placed AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS piece FROM cut),
+pieces AS (SELECT doc_id, piece, string_agg(low, ' ' ORDER BY ord) AS t, count(*) AS n, min(ord) AS first_ord, max(ord) AS last_ord FROM placed GROUP BY doc_id, piece),
+units AS (SELECT doc_id, piece AS a, piece + 1 AS b, t AS unit FROM pieces WHERE n >= {min_words}
+  UNION ALL SELECT doc_id, piece, piece + 2, t || chr(10) || following FROM (SELECT *, lead(t) OVER (PARTITION BY doc_id ORDER BY piece) AS following FROM pieces) WHERE following IS NOT NULL),
+firsts AS (SELECT unit, min((doc_id, a)) AS first FROM units GROUP BY unit),
+repeated AS (SELECT u.doc_id, u.a, u.b, f.first[1] AS keeper FROM units u JOIN firsts f USING (unit) WHERE (u.doc_id, u.a) != f.first),
+island AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS no FROM
+  (SELECT *, (a >= coalesce(max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS fresh FROM repeated)),
+runs AS (SELECT doc_id, no, min(a) AS a, max(b) AS b, min(keeper) AS keeper FROM island GROUP BY doc_id, no),
+big AS (SELECT doc_id, no FROM (SELECT DISTINCT r.doc_id, r.no, p.t, p.n FROM runs r JOIN pieces p ON p.doc_id = r.doc_id AND p.piece >= r.a AND p.piece < r.b) GROUP BY doc_id, no HAVING sum(n) >= {min_words}),
+gone AS (SELECT r.doc_id, r.keeper, min(p.first_ord) AS x, max(p.last_ord) AS y, sum(p.n)::BIGINT AS n FROM runs r JOIN big USING (doc_id, no) JOIN pieces p ON p.doc_id = r.doc_id AND p.piece >= r.a AND p.piece < r.b GROUP BY r.doc_id, r.no, r.keeper),
+spans AS (SELECT g.*, s.upto - length(s.sign) AS start, e.upto + CASE WHEN s.begins_line OR NOT contains(e.after, chr(10)) THEN length(e.after) ELSE 0 END AS stop
+  FROM gone g JOIN signs s ON s.doc_id = g.doc_id AND s.ord = g.x JOIN signs e ON e.doc_id = g.doc_id AND e.ord = g.y),
+left_over AS (SELECT s.doc_id, string_agg(s.sign, '' ORDER BY s.ord) AS text FROM signs s ANTI JOIN spans p ON s.doc_id = p.doc_id AND s.upto > p.start AND s.upto <= p.stop GROUP BY s.doc_id),
+listed AS (SELECT doc_id, count(*) AS k, sum(n)::BIGINT AS n, string_agg(concat_ws(':', start, stop, n, keeper), ',' ORDER BY start) AS spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(o.text, '') END AS text, coalesce(l.k, 0)::BIGINT AS n_removed, coalesce(l.n, 0)::BIGINT AS n_words_removed, coalesce(l.spans, '') AS removed_spans
+FROM documents d LEFT JOIN left_over o USING (doc_id) LEFT JOIN listed l USING (doc_id)"""
 
 
 def oracles() -> dict[str, str]:

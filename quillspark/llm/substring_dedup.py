@@ -1,141 +1,212 @@
-"""Substring dedup by hashing lines and runs of lines.
-
-Lines are normalised (white space collapsed, lower case). Units are runs of consecutive lines, blank ones passed over:
-from every line the shortest run forward, and to every line the shortest run backward, that reaches a number of words;
-a line of enough words is a run by itself. So of any run of whole lines that repeats and has enough words, every line
-lies in a unit that repeats. A unit's 128-bit digest is grouped over the whole corpus, the occurrence with the smallest
-(rank, place) stays, and the lines of the others are removed from their texts. Offsets are code points of the original
-text. Runs under a number of words are never removed: short lines repeat by chance.
+"""Substring dedup by hashing pieces of lines.
+
+Words are runs without ASCII white space, A-Z lower-cased. A line is cut into pieces after every word whose MD5 digest
+begins with a digit of ``ANCHORS``, so a passage is cut alike wherever it stands in a line; the last word of a line ends
+a piece too. A unit is two neighbouring pieces, or one piece of enough words. A unit's digest is grouped over the whole
+corpus; the occurrence in the smallest document id, and in it the first place, stays. Repeated units that follow each
+other are a run, and a run goes if its different pieces have enough words together: single lines and short phrases
+repeat by chance. Offsets are code points of the original text.
+
+Digests have 64 bits. Two units that differ share one with a chance of 2^-64, and a wrong removal needs that for every
+unit of a run of ``min_words`` words.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from hashlib import md5
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm._rows import batches_of, slices, small_batches
+from quillspark.llm._rows import col, free, numbered, slices, small_batches
+from quillspark.llm.shingles import GOLDEN, mix
 from quillspark.plans.storage import Workspace
 
-REMOVED = "array<struct<at:long,start:long,end:long,keeper:long>>"
-BLANK = "\t\n\v\f\r "
-
-
-def normalised(unit: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(unit, r"[\x20\x09-\x0D]+", " "), "^ | $", ""))
-
-
-def runs_of(text: str, min_words: int) -> list[tuple[int, int, bytes]]:
-    """(first line, last line, digest) of the shortest runs of at least ``min_words`` words from and to every line."""
-    at, words, digests = [], [], []
-    for i, line in enumerate(text.split("\n")):
-        parts = line.lower().encode("utf-8", "surrogatepass").split()
-        if parts:
-            at.append(i)
-            words.append(len(parts))
-            digests.append(md5(b" ".join(parts)).digest())
-    found, low, total = set(), 0, 0
-    for high, n in enumerate(words):
-        total += n
-        while total >= min_words:  # no shorter run from ``low`` had the words
-            found.add((low, high))
-            total -= words[low]
-            low += 1
-        if low:  # the latest start from which the words suffice
-            found.add((low - 1, high))
-    return [(at[a], at[b], digests[a] if a == b else md5(b"".join(digests[a : b + 1])).digest()) for a, b in sorted(found)]
-
-
-def units_of(docs: DataFrame, min_words: int, id_col: str = "doc_id", text_col: str = "text", runs: bool = True) -> DataFrame:
-    """``id_, at_, to_, digest_``: first and last line of every unit, or of the lines alone that have enough words."""
-    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"))
-    if runs:
-        schema = T.StructType([known.schema["id_"], *T.StructType.fromDDL("at_ int, to_ int, digest_ binary").fields])
-        return known.where(F.col("text_").isNotNull()).mapInArrow(_units(min_words), schema)
-    units = known.select("id_", F.posexplode(F.split("text_", "\n", -1)).alias("at_", "unit_")).withColumn("unit_", normalised(F.col("unit_")))
-    words = F.length("unit_") - F.length(F.replace("unit_", F.lit(" "), F.lit(""))) + 1
-    return units.where((words >= min_words) & (F.col("unit_") != "")).select("id_", "at_", F.col("at_").alias("to_"), F.unhex(F.md5("unit_")).alias("digest_"))
+#: First hexadecimal digits of the MD5 digests of words that end a piece: 3 words of 16.
+ANCHORS = "012"
+REMOVED = "array<struct<start:long,end:long,words:long,keeper:{id}>>"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+class Words(dict):
+    """64 bits of the MD5 digests of words, remembered up to a number of entries that bounds the memory. The digest's
+    first hexadecimal digit is the highest one."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 50_000:
+            self.clear()
+        self[word] = found = int.from_bytes(md5(word).digest()[:8], "big")
+        return found
+
+
+@dataclass
+class Pieces:
+    """Pieces of a text in order: first word, word after the last, digest."""
+
+    first: np.ndarray
+    last: np.ndarray
+    digest: np.ndarray
+
+    @property
+    def words(self) -> np.ndarray:
+        return self.last - self.first
+
+
+def pieces_of(text: str | None, words: Words) -> Pieces:
+    found, line_ends = [], []
+    for line in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n"):
+        found += line.split()
+        line_ends.append(len(found))
+    if not found:
+        none = np.empty(0, np.int64)
+        return Pieces(none, none, none.astype(np.uint64))
+    of = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
+    ends = (of >> np.uint64(60)) < len(ANCHORS)
+    ends[np.array([n for n in line_ends if n], np.int64) - 1] = True
+    last = np.flatnonzero(ends) + 1
+    first = np.concatenate([[0], last[:-1]])
+    # place of a word in its piece, mixed in, so that order counts
+    place = np.arange(len(found), dtype=np.int64) - np.repeat(first, last - first)
+    return Pieces(first, last, mix(np.add.reduceat(mix(of + place.astype(np.uint64) * np.uint64(GOLDEN)), first)))
+
+
+def units_of(pieces: Pieces, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, first piece, piece after the last) of every unit, in order of the first piece."""
+    n = len(pieces.digest)
+    twos = mix(pieces.digest[:-1] * np.uint64(3) + mix(pieces.digest[1:])) if n > 1 else np.empty(0, np.uint64)
+    ones = np.flatnonzero(pieces.words >= min_words)
+    at = np.arange(max(0, n - 1))
+    digest, first, last = np.concatenate([twos, pieces.digest[ones]]), np.concatenate([at, ones]), np.concatenate([at + 2, ones + 1])
+    order = np.lexsort((last, first))
+    return digest[order], first[order], last[order]
 
 
 def _units(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            schema = pa.schema([("id_", batch.schema.field(0).type), ("at_", pa.int32()), ("to_", pa.int32()), ("digest_", pa.binary())])
-            ids, texts = (column.to_pylist() for column in batch.columns)
-            yield from batches_of(schema, ((i, *unit) for i, text in zip(ids, texts, strict=True) for unit in runs_of(text, min_words)))
+        words = Words()
+        for batch in slices(batches, 128):
+            units, again, rows = [], [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                found, count = np.unique(units_of(pieces_of(text, words), min_words)[0], return_counts=True)
+                units.append(found.view(np.int64))
+                again.append(count > 1)
+                rows.append(np.full(len(found), row))
+            if units:
+                ids = batch.column(0).take(pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(units)), pa.array(np.concatenate(again))], names=["id_", "unit_", "again_"])
 
     return run
 
 
 def repeated_units(units: DataFrame) -> DataFrame:
-    """``id_, at_, to_, keeper_``: occurrences to remove, and the document that keeps the unit.
+    """``id_, unit_, keeper_``: units that a document of a smaller id has too, or that a document repeats itself.
 
-    An occurrence that begins inside the first one stays: it would take away lines of the unit that is kept.
+    Takes each document's different units once. Counting combines before it shuffles, and the join is plain, so a
+    unit that is everywhere is split.
     """
-    place = F.struct("id_", "at_", "to_")
-    found = units.groupBy("digest_").agg(F.min(place).alias("first_"), F.max(place).alias("last_")).where("first_ != last_")
-    later = (F.col("id_") != F.col("first_.id_")) | (F.col("at_") > F.col("first_.to_"))
-    return units.join(found.select("digest_", "first_"), "digest_").where(later).select("id_", "at_", "to_", F.col("first_.id_").alias("keeper_"))
+    shared = units.groupBy("unit_").agg(F.min("id_").alias("keeper_"), F.max("id_").alias("last_")).where("keeper_ != last_").select("unit_", "keeper_")
+    elsewhere = units.join(shared, "unit_").where("id_ != keeper_").select("id_", "unit_", "keeper_")
+    return elsewhere.unionByName(units.where("again_").select("id_", "unit_", F.col("id_").alias("keeper_")))
+
 
+def removed_name(columns: Iterable[str]) -> str:
+    """The name of the column that ``substring_dedup`` adds to these."""
+    return free("removed_", columns)
 
-def substring_dedup(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text", runs: bool = True) -> DataFrame:
-    """The input's rows and columns with repeated units removed from the text, and what was removed.
 
-    Adds ``removed_``: an array of (at, start, end, keeper) in order, with the line's number, its half-open span of
-    code points in the original text, and the smallest id that keeps a unit of the line; empty where nothing went.
-    Removed lines go with their line feed, blank lines stay. Documents rank by id, so the smallest id keeps a unit;
-    within one, the first place. Null and empty texts and rows with a null id stay as they are. Rows that repeat an id
-    are one document and lose the same lines. Without ``runs``, only single lines of ``min_words`` words are units.
+def substring_dedup(docs: DataFrame, min_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's rows and columns with repeated runs removed from the text, and what was removed.
+
+    Adds ``removed_``: an array of (start, end, words, keeper) in order, with a run's half-open span of code points in
+    the original text, its number of words and the smallest id that keeps one of its units; empty where nothing went.
+    The white space after a run goes with it, but not a line feed that ends a line of which words stay. Documents rank
+    by id, so the smallest id keeps a unit; within one, the first place. Null and empty texts and rows with a null id
+    stay as they are. Rows that repeat an id are one document and keep what they share with each other. Other columns
+    pass whatever their names; if one is called ``removed_``, the added name takes underscores until it is free
+    (``removed_name``). Texts are read whole, whatever their length. An empty table gives an empty result.
     """
     work = Workspace(docs.sparkSession, "units")
     small_batches(docs.sparkSession)
-    units = work.save(units_of(docs, min_words, id_col, text_col, runs))
-    gone = repeated_units(units).distinct().groupBy(F.col("id_").alias("gone_id_")).agg(F.array_sort(F.collect_list(F.struct("at_", "to_", "keeper_"))).alias("gone_"))
-    joined = docs.join(gone, F.col(id_col) == F.col("gone_id_"), "left").select(*docs.columns, "gone_")
+    id_field = docs.select(col(id_col).alias("id_")).schema["id_"]
+    known = docs.where(col(id_col).isNotNull() & col(text_col).isNotNull()).select(col(id_col).alias("id_"), col(text_col).alias("text_"))
+    units = work.save(known.mapInArrow(_units(min_words), T.StructType([id_field, *T.StructType.fromDDL("unit_ long, again_ boolean").fields])))
+    key, gone_name, added = free("id_", docs.columns), free("gone_", docs.columns), removed_name(docs.columns)
+    gone = work.save(repeated_units(units).groupBy("id_").agg(F.collect_list(F.struct("unit_", "keeper_")).alias("gone_")).toDF(key, gone_name))
+    work.drop(units)
+    joined = docs.join(gone, col(id_col) == col(key), "left").select(*map(col, docs.columns), col(gone_name))
     names = [name.lower() for name in docs.columns]
-    schema = T.StructType([*docs.schema.fields, T.StructField("removed_", T.DataType.fromDDL(REMOVED))])
-    return joined.mapInArrow(_cut(names.index(text_col.lower()), len(names)), schema)
-
+    removed = T.DataType.fromDDL(REMOVED.format(id=id_field.dataType.simpleString()))
+    schema = T.StructType([*docs.schema.fields, T.StructField(added, removed)])
+    return numbered(joined).mapInArrow(_cut(names.index(id_col.lower()), names.index(text_col.lower()), schema.names, min_words), schema)
 
-def _cut(text_at: int, gone_at: int):
-    removed_type = pa.list_(pa.struct([("at", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("keeper", pa.int64())]))
 
+def _cut(id_at: int, text_at: int, names: list[str], min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            texts, removed = [], []
-            for text, gone in zip(batch.column(text_at).to_pylist(), batch.column(gone_at).to_pylist(), strict=True):
-                cut = cut_lines(text, keepers(gone or ()))
-                texts.append(cut[0])
-                removed.append(cut[1])
-            columns = list(batch.columns)[:gone_at]
+        words = Words()
+        for batch in slices(batches, 128):
+            id_type = batch.schema.field(id_at).type
+            removed_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64()), ("keeper", id_type)]))
+            ids, texts = batch.column(id_at).to_pylist(), batch.column(text_at).to_pylist()
+            removed = []
+            for row, gone in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                spans = repeated_runs(ids[row], texts[row], gone, min_words, words) if gone and texts[row] else []
+                if spans:
+                    texts[row] = without(texts[row], spans)
+                removed.append(spans)
+            columns = list(batch.columns)[:-1]
             columns[text_at] = pa.array(texts, batch.schema.field(text_at).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, removed_type)], names=[*batch.schema.names[:gone_at], "removed_"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, removed_type)], names=names)
 
     return run
 
 
-def keepers(gone: Iterable[dict]) -> dict[int, int]:
-    """The smallest keeper of each line that lies in one of the removed runs."""
-    found: dict[int, int] = {}
+def repeated_runs(doc_id, text: str, gone: Iterable[dict], min_words: int, words: Words) -> list[dict]:
+    """The spans to remove, given the document's repeated units and who keeps them."""
+    keepers: dict[int, object] = {}
     for x in gone:
-        for at in range(x["at_"], x["to_"] + 1):
-            found[at] = min(x["keeper_"], found.get(at, x["keeper_"]))
-    return found
-
-
-def cut_lines(text: str | None, gone: dict[int, int]) -> tuple[str | None, list[dict]]:
-    """The text without the numbered lines that are not blank, and their spans in the whole text."""
-    if text is None or not gone:
-        return text, []
-    kept, removed, start = [], [], 0
-    for at, line in enumerate(text.split("\n")):
-        if at in gone and line.strip(BLANK):
-            removed.append({"at": at, "start": start, "end": start + len(line), "keeper": gone[at]})
-        else:
-            kept.append(line)
-        start += len(line) + 1
-    return "\n".join(kept), removed
+        keepers[x["unit_"]] = min(x["keeper_"], keepers.get(x["unit_"], x["keeper_"]))
+    pieces = pieces_of(text, words)
+    digest, first, last = units_of(pieces, min_words)
+    digest = digest.view(np.int64)
+    runs, seen = [], set()
+    for k in np.flatnonzero(np.isin(digest, np.fromiter(keepers, np.int64, len(keepers)))):
+        unit, keeper = int(digest[k]), keepers[int(digest[k])]
+        if keeper != doc_id or unit in seen:
+            if runs and first[k] < runs[-1][1]:
+                runs[-1] = (runs[-1][0], max(runs[-1][1], int(last[k])), min(runs[-1][2], keeper))
+            else:
+                runs.append((int(first[k]), int(last[k]), keeper))
+        seen.add(unit)
+    spans = []
+    for a, b, keeper in runs:
+        different = np.unique(pieces.digest[a:b], return_index=True)[1] + a
+        if pieces.words[different].sum() >= min_words:
+            spans.append((int(pieces.first[a]), int(pieces.last[b - 1]), keeper))
+    return _places(text, spans) if spans else []
+
+
+def _places(text: str, spans: list[tuple]) -> list[dict]:
+    """Spans of words as spans of code points, with the white space that goes."""
+    at = [m.span() for m in WORD.finditer(text)]
+    out = []
+    for a, b, keeper in spans:
+        start, end, after = at[a][0], at[b - 1][1], at[b][0] if b < len(at) else len(text)
+        begins_line = a == 0 or "\n" in text[at[a - 1][1] : start]
+        if begins_line or "\n" not in text[end:after]:
+            end = after
+        out.append({"start": start, "end": end, "words": b - a, "keeper": keeper})
+    return out
+
+
+def without(text: str, spans: list[dict]) -> str:
+    kept, at = [], 0
+    for span in spans:
+        kept.append(text[at : span["start"]])
+        at = span["end"]
+    return "".join([*kept, text[at:]])

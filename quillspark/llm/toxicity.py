@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._rows import batches_of, rows, slices, small_batches
+from quillspark.llm._rows import batches_of, numbered, rows, slices, small_batches
 from quillspark.plans.storage import Workspace
 
 #: Letters of other scripts that look like Latin ones (fixed values).
@@ -229,13 +229,13 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", t
 def without_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The rows that are not predicted toxic, with all their columns; rows with a null id stay if they are clean."""
     state = (lexicon.weights, lexicon.exceptions, lexicon.length_power, lexicon.slope, lexicon.offset)
-    schema = docs.schema
-    at = [name.lower() for name in docs.columns].index("text")
+    names = docs.columns
+    at = [name.lower() for name in names].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lexicon(*state)
         for batch in slices(batches):
             clean = [own.score(own.strength(text)[0]) < 0.5 for text in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            yield batch.filter(pa.array(clean, pa.bool_())).rename_columns(names)
 
-    return docs.mapInArrow(run, schema)
+    return numbered(docs).mapInArrow(run, docs.schema)

@@ -1,10 +1,12 @@
 """Plain versions of the operators, for small inputs."""
 
+import hashlib
 import re
 from collections import Counter
 
 import numpy as np
 
+BLANK = "\t\n\v\f\r "
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -78,3 +80,51 @@ def repeated_chars(words, n):
             inside.update(range(i, i + n))
         seen.add(gram)
     return sum(len(words[j]) for j in inside)
+
+
+def substring_pieces(text):
+    """(words, first word) of each piece."""
+    out, at = [], 0
+    for line in re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split("\n"):
+        now = []
+        for word in WORD.findall(line):
+            now.append(word)
+            if hashlib.md5(word.encode()).hexdigest()[0] in "012":
+                out.append((tuple(now), at))
+                at, now = at + len(now), []
+        if now:
+            out.append((tuple(now), at))
+            at += len(now)
+    return out
+
+
+def substring_dedup(rows, min_words=25):
+    """(id, text) rows with different ids -> id: (text left, spans of code points)."""
+    pieces = {k: substring_pieces(t) for k, t in rows}
+    first = {}
+    units = {k: sorted([(i, i + 1) for i, p in enumerate(found) if len(p[0]) >= min_words] + [(i, i + 2) for i in range(len(found) - 1)]) for k, found in pieces.items()}
+    for k in sorted(units):
+        for a, b in units[k]:
+            first.setdefault(tuple(p[0] for p in pieces[k][a:b]), (k, a))
+    out = {}
+    for k, text in rows:
+        repeated = [(a, b) for a, b in units[k] if first[tuple(p[0] for p in pieces[k][a:b])] != (k, a)]
+        runs = []
+        for a, b in repeated:
+            if runs and a < runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], b)
+            else:
+                runs.append([a, b])
+        spans, words = [], [m.span() for m in WORD.finditer(text or "")]
+        for a, b in runs:
+            if sum(len(w) for w in {p[0] for p in pieces[k][a:b]}) >= min_words:
+                x, y = pieces[k][a][1], pieces[k][b - 1][1] + len(pieces[k][b - 1][0])
+                start, end, after = words[x][0], words[y - 1][1], words[y][0] if y < len(words) else len(text)
+                if not text[:start].rsplit("\n", 1)[-1].strip(BLANK) or "\n" not in text[end:after]:
+                    end = after
+                spans.append((start, end))
+        left = text
+        for start, end in reversed(spans):
+            left = left[:start] + left[end:]
+        out[k] = (left, spans)
+    return out

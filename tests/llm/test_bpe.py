@@ -1,9 +1,11 @@
 import hashlib
 
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -17,6 +19,27 @@ TREE = bpe.TreeEncoder(RANKS, PATTERN)
 ODD = st.text(st.sampled_from(list("abté ñ\n\t'sre12.,!-  \x1c\x85中文字ก้😀")), max_size=400)
 
 
+def merge_loop(data):
+    """The pair of the lowest rank merges first, the leftmost of equals, until no pair has a rank."""
+    parts = [bytes([b]) for b in data]
+    while True:
+        best = min(((RANKS[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in RANKS), default=None)
+        if best is None:
+            return [RANKS[p] for p in parts]
+        parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+
+
+def plain_encode(text):
+    return [i for match in regex.findall(PATTERN, text) for i in merge_loop(match.encode())]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.one_of(ODD, st.text(max_size=300), st.lists(st.sampled_from(["ention", "über", " ", "\n", "x9", "中文", "don't", "  "]), max_size=90).map("".join)))
+def test_same_ids_as_a_plain_merge_loop(text):
+    ids = TREE.encode(text)
+    assert ids == plain_encode(text) and TREE.decode(ids) == text.encode()
+
+
 @pytest.fixture
 def small_leaves(monkeypatch):
     monkeypatch.setattr(bpe, "LEAF_CHARS", 8)
@@ -60,6 +83,10 @@ def test_query_on_whole_texts(spark):
 
     want = [row(d.doc_id, d.text or "") for d in docs.collect()]
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    both = bpe.round_trip(docs.withColumn("place", F.lit(7)), ranks, PATTERN, keep=("place",), with_ids=True)
+    assert both.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "place"]
+    assert sorted(map(repr, (tuple(r)[:4] for r in both.collect()))) == sorted(map(repr, want))
+    assert all(r.place == 7 and hashlib.sha256(r.ids).hexdigest() == r.ids_sha256 for r in both.collect())
 
 
 def test_empty_table(spark):

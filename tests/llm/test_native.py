@@ -2,13 +2,10 @@
 
 import duckdb
 import pytest
-from hypothesis import given
-from hypothesis import strategies as st
 
 from quillspark.llm import queries, sql
 from quillspark.llm.line_spread import Spread, remove_boilerplate
 from quillspark.llm.mixing import OTHER, frame_of, mix_sources
-from quillspark.llm.substring_dedup import runs_of, substring_dedup
 from quillspark.llm.url_lists import filter_urls, intervals, keys_of
 
 SF = "/root/testdata/sf0.001"
@@ -44,42 +41,6 @@ def test_far_estimates_and_near_counts_agree(spark):
     assert gone == {"line of 20 sites", "line of 21 sites", "line of 200 sites"}
 
 
-def test_repeated_units(spark):
-    unit, other = " ".join(f"w{i}" for i in range(25)), " ".join(f"v{i}" for i in range(25))
-    rows = [(5, f"a\n{unit.upper()}\nb"), (2, f"{unit}\né{other}"), (7, f"é{other}\n  {unit}"), (8, None), (9, ""), (None, unit), (10, "short\nshort"), (7, f"é{other}\n  {unit}")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS at_", "2 AS gone")
-    got = {r.doc_id: (r.text, [tuple(x) for x in r.removed_]) for r in substring_dedup(docs).collect()}
-    assert got[5] == ("a\nb", [(1, 2, 2 + len(unit), 2)])
-    assert got[2] == (rows[1][1], []) and got[10] == ("short\nshort", []) and got[8] == (None, []) and got[9] == ("", []) and got[None] == (unit, [])
-    assert got[7] == ("", [(0, 0, 1 + len(other), 2), (1, 2 + len(other), 4 + len(other) + len(unit), 2)])
-    assert substring_dedup(docs).count() == len(rows) and substring_dedup(docs.limit(0)).collect() == []
-
-
-def test_runs_of_short_lines(spark):
-    lines = [" ".join(f"{x}{i}" for i in range(7)) for x in "pqrstuvw"]
-    passage = "\n".join(lines)  # 56 words, none of the lines has 20
-    rows = [(1, f"head\n{passage}\ntail"), (2, f"other\n\n{passage.upper()}\nend"), (3, "\n\n".join(lines)), (4, "\n".join(lines[:2])), (5, "\n".join(lines[:1] * 9))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in substring_dedup(docs).collect()}
-    assert got[1].text == rows[0][1] and got[2].text == "other\n\nend" and got[3].text == "\n" * 6
-    assert [tuple(x) for x in got[2].removed_][0] == (2, 7, 7 + len(lines[0]), 1) and len(got[2].removed_) == 8
-    assert got[4].text == rows[3][1]  # 14 words
-    assert got[5].text == "\n".join(lines[:1] * 3)  # the first run of enough words stays whole
-    assert substring_dedup(docs, runs=False).where("size(removed_) > 0").count() == 0
-
-
-@given(st.lists(st.integers(0, 9), max_size=30), st.integers(1, 12))
-def test_runs_cover_every_long_passage(words, least):
-    text = "\n".join(" ".join(["x"] * n) for n in words)
-    runs = [(a, b) for a, b, _ in runs_of(text, least)]
-    assert all(sum(words[a : b + 1]) >= least for a, b in runs)
-    for a in range(len(words)):
-        for b in range(a, len(words)):
-            if sum(words[a : b + 1]) >= least:
-                inside = [r for r in runs if a <= r[0] and r[1] <= b]
-                assert all(n == 0 or any(x <= i <= y for x, y in inside) for i, n in enumerate(words) if a <= i <= b)
-
-
 @pytest.mark.parametrize("weights", [{"a": 1}, {"a": 3, "b": 2, "c": 2}, sql.WEIGHTS | {OTHER: 1}, {"a": 7, "b": 1, "c": 1, "d": 1}])
 def test_frames_stay_within_a_block(spark, weights):
     frame = sorted(frame_of(spark, weights).collect(), key=lambda r: r.at_)
