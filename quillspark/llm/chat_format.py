@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._rows import batches_of, groups
+from quillspark.llm._rows import batches_of, rows
 
 
 @dataclass(frozen=True)
@@ -101,7 +101,9 @@ def format_conversations(turns: DataFrame, template: Template | None = None) ->
     Takes ``conv_id, turn, role, text``. Turns sort by turn, then role, then text, nulls first, so ties and repeated
     rows have one order and all stay. Null roles and texts are empty; null ids are one conversation of their own.
     ``in_order`` tells whether the machine has accepted all roles so far, ``may_end`` whether it could stop there;
-    a conversation out of order is formatted all the same. Segments stream: no conversation is held whole.
+    a conversation out of order is formatted all the same. Segments stream: no conversation is held whole, whatever its
+    turns; it is written by one task, as its digests need its turns in order. Other columns are not read, whatever
+    their names. An empty table gives an empty result.
     """
     template = template or Template()
 
@@ -110,22 +112,21 @@ def format_conversations(turns: DataFrame, template: Template | None = None) ->
 
         def out():
             conv, first = None, True
-            for (now, _), found in groups(batches, 2):
+            for now, _, role, text in rows(batches):
                 if first or now != conv:
                     conv, first, state, ok, seg, turn, start = now, False, "start", True, 0, 0, 0
-                for role, text in found:
-                    role, text = role or "", text or ""
-                    ok, state = ok and role in template.follows.get(state, ()), role
-                    for part, loss in writer.segments(role, text):
-                        yield conv, seg, turn, role, part, loss, start, ok, ok and state in template.last
-                        seg, start = seg + 1, start + len(part)
-                    turn += 1
+                role, text = role or "", text or ""
+                ok, state = ok and role in template.follows.get(state, ()), role
+                for part, loss in writer.segments(role, text):
+                    yield conv, seg, turn, role, part, loss, start, ok, ok and state in template.last
+                    seg, start = seg + 1, start + len(part)
+                turn += 1
 
         yield from batches_of(SEGMENTS, out())
 
     columns = ["conv_id", "turn", "role", "text"]
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    return rows.repartition("conv_id").sortWithinPartitions(*columns).mapInArrow(run, DDL)
+    sent = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    return sent.repartition("conv_id").sortWithinPartitions(*columns).mapInArrow(run, DDL)
 
 
 def read_back(segments: DataFrame, template: Template | None = None) -> DataFrame:
@@ -139,19 +140,18 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out():
             conv, state = None, None
-            for (now, _), found in groups(batches, 2):
+            for now, text, loss, may_end in rows(batches):
                 if state is None or now != conv:
                     if state is not None:
                         yield conv, *state.result()
                     conv, state = now, _Digest(template)
-                for text, loss, may_end in found:
-                    state.add(text, loss, may_end)
+                state.add(text, loss, may_end)
             if state is not None:
                 yield conv, *state.result()
 
         yield from batches_of(schema, out())
 
-    return segments.select("conv_id", "turn_no", "text", "loss", "may_end").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    return segments.select("conv_id", "text", "loss", "may_end").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
 
 
 class _Digest:
