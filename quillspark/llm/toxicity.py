@@ -80,32 +80,30 @@ class Lexicon:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
-        for entry, weight in self.weights.items():
-            self.automaton.add_word(entry, (len(entry), weight))
-        for phrase in self.exceptions:
-            entry = fold(phrase, self.table)
-            if entry not in self.automaton:
-                self.automaton.add_word(entry, (len(entry), None))
+        harmless = {fold(phrase, self.table) for phrase in self.exceptions} - {"  "}
+        for entry in sorted(self.weights.keys() | harmless):
+            self.automaton.add_word(entry, (len(entry), self.weights.get(entry), entry in harmless))
         if len(self.automaton):
             self.automaton.make_automaton()
 
     def strength(self, text: str | None) -> tuple[float, int]:
         """The matches' weights over a power of the word count, and the number of matches; 0 without words.
 
-        Of matches that begin at one place the heaviest counts.
+        Of matches that begin at one place the heaviest counts; none that begins inside an exception phrase does, nor
+        an entry that is such a phrase itself.
         """
         folded = fold(text, self.table)
         best: dict[int, float] = {}
         spans = []
         if len(self.automaton):
-            for end, (size, weight) in self.automaton.iter(folded):
+            for end, (size, weight, harmless) in self.automaton.iter(folded):
                 start = end - size + 1
-                if weight is None:
+                if harmless:
                     spans.append((start, end))
-                else:
-                    best[start] = max(weight, best.get(start, 0.0))
+                if weight is not None:
+                    best[start] = max(weight, best.get(start, weight))
         if spans:
-            best = {s: w for s, w in best.items() if not any(a <= s and s < b for a, b in spans)}
+            best = dict(_outside(best, spans))
         n = max(1, folded.count(" ") - 1)
         return sum(best.values()) / n**self.length_power, len(best)
 
@@ -113,6 +111,18 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * strength + self.offset))))
 
 
+def _outside(best: dict[int, float], spans: list[tuple[int, int]]) -> Iterator[tuple[int, float]]:
+    """The matches that begin in none of the half-open spans, by one sweep over both."""
+    spans.sort()
+    k, end = 0, -1
+    for start in sorted(best):
+        while k < len(spans) and spans[k][0] <= start:
+            end = max(end, spans[k][1])
+            k += 1
+        if start >= end:
+            yield start, best[start]
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that are never learned from: crc32 of the id as text is divisible by 5."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))

@@ -1,6 +1,8 @@
 import zlib
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.llm.toxicity import Folder, Lexicon, fold, held_out, learn, score_documents, without_toxic
@@ -24,6 +26,39 @@ def test_matches_exceptions_and_length():
     assert Lexicon({}).strength("clown") == (0.0, 0) and lexicon.strength(None) == (0.0, 0)
 
 
+def naive(lexicon, text):
+    """Every place against every entry, and every match against every exception."""
+    folded = fold(text, lexicon.table)
+    spans = []
+    for phrase in {fold(p, lexicon.table) for p in lexicon.exceptions} - {"  "}:
+        spans += [range(i, i + len(phrase) - 1) for i in range(len(folded)) if folded.startswith(phrase, i)]
+    best = {}
+    for i in range(len(folded)):
+        found = [w for entry, w in lexicon.weights.items() if folded.startswith(entry, i)]
+        if found and not any(i in s for s in spans):
+            best[i] = max(found)
+    return sum(best[i] for i in sorted(best)) / max(1, len(folded.split())) ** lexicon.length_power, len(best)
+
+
+WORDS = st.lists(st.sampled_from(["clown", "cl0wn", "fish", "idiot", "1diotic", "idio", "trash", "can", "trash can", "bin", "ok", "prооf", "proof", "idiot proof", "!", "\n"]), max_size=40).map(" ".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(WORDS)
+def test_matches_equal_a_naive_scan(text):
+    lexicon = Lexicon({" clown ": 4.0, " idio": 3.0, " idiot ": 5.0, " trash ": 1.5, " trash can ": 9.0, " fish ": 0.5})
+    assert lexicon.strength(text) == pytest.approx(naive(lexicon, text))
+
+
+def test_many_exceptions_take_linear_time():
+    lexicon = Lexicon({" clown ": 4.0, " idiot ": 5.0})
+    assert lexicon.strength("clown fish idiot " * 60_000)[1] == 60_000
+
+
+def test_an_exception_that_is_an_entry_is_harmless():
+    assert Lexicon({" trash can ": 9.0, " trash ": 2.0}).strength("a trash can and trash") == (2.0 / 5**0.5, 1)
+
+
 def test_held_out_rule(spark):
     got = spark.range(50).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in got)
