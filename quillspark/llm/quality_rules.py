@@ -3,7 +3,7 @@
 The words of a text become exact ids. For each n-gram length a rolling hash gives all windows one number; windows of
 one hash are compared word by word, so a collision can't count as a repetition. Coverage is the share of the text's
 word characters inside duplicated n-grams, inside the most frequent n-gram, and inside duplicated lines. Of n-grams
-that tie for the most frequent, the one that covers most characters counts.
+that tie for the most frequent, the one that covers most characters counts. Characters are code points of words.
 """
 
 from __future__ import annotations
@@ -88,12 +88,12 @@ def measure(text: str | None, limits: Limits) -> dict:
 
     lines = [x for x in data.split(b"\n") if x.strip()]
     times = Counter(lines)
-    repeated = {x: n for x, n in times.items() if n > 1}
-    line_size = sum(len(x) * n for x, n in times.items())
+    # the first of equal lines is content; characters of words count, as in the n-grams
+    again = sum((n - 1) * sum(int(length_of[known[w]]) for w in x.split()) for x, n in times.items() if n > 1)
 
     out = {"n_words": len(words), "word_chars": chars, "n_symbols": sum(map(text.count, SYMBOLS)), "n_dup_lines": len(lines) - len(times)}
-    out["line_char_share"] = sum(len(x) * (n - 1) for x, n in repeated.items()) / line_size if line_size else 0.0
-    failed = ["line_char_share"] if out["line_char_share"] > limits.line_chars else []
+    out["line_char_share"] = again / chars if chars else 0.0
+    failed = ["line_char_share"] if again > limits.line_chars * chars else []
     repeat_words = 0
     for n in sorted({*limits.top, *limits.duplicated, 8}):
         group = window_groups(ids, n)
@@ -111,9 +111,9 @@ def measure(text: str | None, limits: Limits) -> dict:
             # the first of the equal windows is content, the later ones are repetition
             later = np.ones(len(group), bool)
             later[np.unique(group, return_index=True)[1]] = False
-            share = int(sizes[covered(later, n, len(ids))].sum()) / chars
-            out[f"dup_{n}"] = share
-            if share > limits.duplicated[n]:
+            again_chars = int(sizes[covered(later, n, len(ids))].sum())
+            out[f"dup_{n}"] = again_chars / chars
+            if again_chars > limits.duplicated[n] * chars:
                 failed.append(f"dup_{n}")
     out["n_repeat_words"], out["failed_rules"] = repeat_words, failed
     return out

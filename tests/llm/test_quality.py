@@ -42,6 +42,28 @@ def test_most_frequent_of_ties_equals_brute_force(text):
         assert abs(m.get(f"top_{n}", 0.0) * max(1, m["word_chars"]) - top_chars(words, n)) < 1e-6
 
 
+@settings(max_examples=300, deadline=None)
+@given(TEXTS)
+def test_lines_and_verdict_equal_brute_force(text):
+    limits = q.Limits()
+    m = q.measure(text, limits)
+    words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    chars = sum(map(len, words))
+    again = sum(len("".join(WORD.findall(x))) for i, x in enumerate(lines) if x in lines[:i])
+    assert abs(m["line_char_share"] * max(1, chars) - again) < 1e-6
+    failed = ["line_char_share"] * (again > limits.line_chars * chars)
+    failed += [f"top_{n}" for n, most in limits.top.items() if top_chars(words, n) > most * chars]
+    failed += [f"dup_{n}" for n, most in limits.duplicated.items() if repeated_chars(words, n) > most * chars]
+    assert sorted(m["failed_rules"]) == sorted(failed)
+
+
+def test_lines_count_characters_of_words():
+    """40 letters of two bytes, twice, beside 148 others: 0.175 by characters, under the limit; bytes and spaces would be over it."""
+    text = "é" * 40 + "\n" + " \t é" .replace("é", "é" * 40).strip() + "\n" + " ".join(f"w{i:03}" for i in range(37))
+    m = q.measure(text, q.Limits())
+    assert m["line_char_share"] == 40 / 228 and "line_char_share" not in m["failed_rules"]
+
+
 def test_widest_of_ties_decides():
     rest = " ".join(f"w{i}" for i in range(60))
     pairs = ["a b", "extraordinarily longwinded", "c d"]
