@@ -42,6 +42,15 @@ def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
         spark.conf.set(name, str(most))
 
 
+def frees(taken: Iterable[str], *wanted: str) -> list[str]:
+    """A free name for each wanted one."""
+    held, out = list(taken), []
+    for name in wanted:
+        out.append(free(name, held))
+        held.append(out[-1])
+    return out
+
+
 def worker_cache() -> dict:
     """Objects that a Python worker keeps from task to task."""
     return sys.modules.setdefault("_quillspark_worker", types.ModuleType("_quillspark_worker")).__dict__
