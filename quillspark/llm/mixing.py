@@ -6,8 +6,8 @@ With integer weights the schedule repeats after Q slots, so the machine runs for
 only the weights decide, and every later block's slot follows from its place in its frame. At any slot each source is
 less than one block from its share; a source that has run out leaves its slots empty and the others in their order.
 
-Running lengths that cut blocks need no task that holds a whole source: rows are ordered by a digest of their id,
-sums of 4,096 ranges of the digest come first, and rows add up within their range.
+Running lengths that cut blocks need no task that holds a whole source: rows are ordered by a digest of their id and
+length, sums of the digest's 65,536 ranges come first, and rows add up within their range.
 """
 
 from __future__ import annotations
@@ -15,8 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm._rows import col, frees
+
 #: Name under which sources without a weight of their own are pooled.
 OTHER = "*"
+#: Hexadecimal digits of a digest that tell its range.
+RANGE_DIGITS = 4
 
 
 def frame_of(spark: SparkSession, weights: dict[str, int]) -> DataFrame:
@@ -43,37 +47,47 @@ def frame_of(spark: SparkSession, weights: dict[str, int]) -> DataFrame:
     return slots.select(name.alias("group_"), F.element_at(p, F.col("i_") + 1).alias("p_"), F.lit(q).alias("q_"), j.alias("j_"), "at_")
 
 
+def place_names(columns: list[str]) -> list[str]:
+    """The names of group, block, slot and start that ``mix_sources`` adds to these columns."""
+    return frees(columns, "group_", "block_", "slot_", "start_")
+
+
 def mix_sources(docs: DataFrame, weights: dict[str, int], other: int = 1, block_chars: int = 65_536, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The input's rows and columns with their place: ``group_, block_, slot_, start_``; sort by slot_, start_.
 
     ``start_`` is the distance in characters from the beginning of the row's block; every row counts one character
     more than its text, so null and empty texts have a length too and a block's rows are bounded. Sources without a
     weight, and null sources, are one group of weight ``other``. Rows are ordered within a group by the MD5 digest of
-    the id, then by length; rows equal in both are interchangeable. No row is dropped or repeated. A row longer than
-    a block takes the time of all blocks it fills.
+    id and length, so neither a source nor an id of many rows meets in one task; rows equal in both are
+    interchangeable. No row is dropped or repeated. A row longer than a block takes the time of all blocks it fills.
+    Input columns pass whatever their names; added names that the input has too take underscores until they are free
+    (``place_names``). An empty table gives an empty result.
     """
     if not weights or min([*weights.values(), other]) < 1:
         raise ValueError("weights are positive integers")
     shares = dict(weights) | {OTHER: other}
-    group = F.when(F.col(source_col).isin(*weights), F.col(source_col)).otherwise(F.lit(OTHER))
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    size = (F.length(F.coalesce(F.col(text_col), F.lit(""))) + 1).cast("long")
-    sized = docs.withColumns({"group_": group, "key_": key, "size_": size}).withColumn("range_", F.substring("key_", 1, 3))
-    ranges = sized.groupBy("group_", "range_").agg(F.sum("size_").alias("sum_"))
-    before = F.sum("sum_").over(Window.partitionBy("group_").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1))
-    ranges = ranges.select("group_", "range_", F.coalesce(before, F.lit(0)).alias("base_"))
-    order = Window.partitionBy("group_", "range_").orderBy("key_", "size_").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("within_", F.coalesce(F.sum("size_").over(order), F.lit(0))).join(ranges, ["group_", "range_"])
-    begin = F.col("base_") + F.col("within_")
-    placed = placed.withColumns({"block_": F.floor(begin / block_chars), "start_": begin % block_chars})
+    group_, block_, slot_, start_ = place_names(docs.columns)
+    key_, size_, range_, sum_, base_, within_, p_, q_, j_, at_ = frees([*docs.columns, group_, block_, slot_, start_], "key_", "size_", "range_", "sum_", "base_", "within_", "p_", "q_", "j_", "at_")
+    group = F.when(col(source_col).isin(*weights), col(source_col)).otherwise(F.lit(OTHER))
+    size = (F.length(F.coalesce(col(text_col), F.lit(""))) + 1).cast("long")
+    key = F.md5(F.concat(F.coalesce(col(id_col).cast("string"), F.lit("")), F.lit(":"), size.cast("string")))
+    sized = docs.select(*map(col, docs.columns), group.alias(group_), key.alias(key_), size.alias(size_)).withColumn(range_, F.substring(key_, 1, RANGE_DIGITS))
+    ranges = sized.groupBy(group_, range_).agg(F.sum(size_).alias(sum_))
+    before = F.sum(sum_).over(Window.partitionBy(group_).orderBy(range_).rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select(group_, range_, F.coalesce(before, F.lit(0)).alias(base_))
+    order = Window.partitionBy(group_, range_).orderBy(key_).rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn(within_, F.coalesce(F.sum(size_).over(order), F.lit(0))).join(ranges, [group_, range_])
+    begin = F.col(base_) + F.col(within_)
+    placed = placed.withColumns({block_: F.floor(begin / block_chars), start_: begin % block_chars})
     # one row for each unit of weight: the parameter bounds this side
-    frame = F.broadcast(frame_of(docs.sparkSession, shares))
+    frame = F.broadcast(frame_of(docs.sparkSession, shares).toDF(group_, p_, q_, j_, at_))
     share = F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))
-    placed = placed.withColumn("j_", (F.col("block_") % F.element_at(share, F.col("group_"))).cast("int")).join(frame, ["group_", "j_"])
-    slot = F.floor(F.col("block_") / F.col("p_")) * F.col("q_") + F.col("at_")
-    return placed.select(*(F.col(c) for c in docs.columns), "group_", "block_", slot.alias("slot_"), "start_")
+    placed = placed.withColumn(j_, (F.col(block_) % F.element_at(share, F.col(group_))).cast("int")).join(frame, [group_, j_])
+    slot = F.floor(F.col(block_) / F.col(p_)) * F.col(q_) + F.col(at_)
+    return placed.select(*map(col, docs.columns), group_, block_, slot.alias(slot_), start_)
 
 
 def in_mixed_order(docs: DataFrame, weights: dict[str, int], **options) -> DataFrame:
     """The input's rows and columns, sorted into the mix by ranges of slots."""
-    return mix_sources(docs, weights, **options).orderBy("slot_", "start_").select(*docs.columns)
+    _, _, slot, start = place_names(docs.columns)
+    return mix_sources(docs, weights, **options).orderBy(slot, start).select(*map(col, docs.columns))

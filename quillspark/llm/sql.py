@@ -26,9 +26,10 @@ URL_ENTRIES = [
     ("adult", "m.thther.example.org", "block", "add", "2024-07-04"),
     ("adult", "example.org/fr", "block", "add", "2024-01-01"),
     ("adult", "thther.example.org/fr", "block", "add", "2024-03-15"),
-    ("trusted", "blog.ththan.example.net", "allow", "add", "2024-02-10"),
+    ("adult", "example.org/FR", "block", "add", "2024-01-01"),
+    ("trusted", "Blog.Ththan.Example.NET", "allow", "add", "2024-02-10"),
     ("trusted", "blog.ththan.example.net", "allow", "remove", "2024-10-01"),
-    ("trusted", "blog.tionble.example.com", "allow", "add", "2024-06-01"),
+    ("trusted", "BLOG.tionble.example.com/", "allow", "add", "2024-06-01"),
     ("trusted", "cheap-pills.example.com", "allow", "add", "2024-12-01"),
     ("trusted", "m.tiontion.example.com", "allow", "add", "2024-01-01"),
 ]
@@ -72,8 +73,9 @@ def url_sql() -> str:
     rows = ",\n    ".join(f"({', '.join(map(_quoted, x))})" for x in URL_ENTRIES)
     url = "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)"
     return f"""
-WITH entries(list, key, verdict, action, day) AS (VALUES
+WITH given(list, key, verdict, action, day) AS (VALUES
     {rows}),
+entries AS (SELECT list, lower(split_part(key, '/', 1)) || rtrim(substr(key, length(split_part(key, '/', 1)) + 1), '/') AS key, verdict, action, day FROM given),
 days AS (SELECT list, key, day::DATE AS day, max((action = 'add')::INT) AS added, max(verdict) FILTER (action = 'add') AS verdict FROM entries GROUP BY ALL),
 intervals AS (SELECT * FROM (SELECT *, lead(day) OVER (PARTITION BY list, key ORDER BY day) AS until FROM days) WHERE added = 1),
 captures AS (SELECT page_id, url, DATE '{FIRST_DAY}' + (((page_id * 7919) % 366 + 366) % 366)::INT AS day,
@@ -123,8 +125,8 @@ def mix_sql() -> str:
     return f"""
 WITH frame(g, p, j, slot) AS (VALUES {frame}),
 sized AS (SELECT doc_id, source, CASE WHEN source IN ({', '.join(map(_quoted, WEIGHTS))}) THEN source ELSE '*' END AS g,
-  length(coalesce(text, '')) + 1 AS size, md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
-placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY g ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin FROM sized)
+  length(coalesce(text, '')) + 1 AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || (length(coalesce(text, '')) + 1)) AS k FROM documents),
+placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY g ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin FROM sized)
 SELECT doc_id, source, begin // {BLOCK_CHARS} AS block, ((begin // {BLOCK_CHARS}) // p) * {sum(shares.values())} + f.slot AS slot, begin % {BLOCK_CHARS} AS start
 FROM placed JOIN frame f ON f.g = placed.g AND f.j = (begin // {BLOCK_CHARS}) % f.p"""
 
