@@ -7,20 +7,19 @@ task and cuts into even ranges. A document's sorted set is cut at fixed points o
    level, linked sets differ in at most D elements, so of F > D fragments at least F - D are equal. Each fragment of
    a set that is not empty becomes one key. F exceeds D by 1 and some slack, so two sets of which one has no more
    empty fragments than the slack share a key. Sets with more also give their first n-grams in the global order as
-   keys, one more than a linked set can lack, so two such sets share one of those. No key gathers documents for
-   lacking n-grams.
+   keys, ``PREFIX`` more than a linked set can lack, so two such sets share as many of those. No key gathers documents
+   for lacking n-grams. Texts are cut into n-grams once; keys are written with the sets.
 2. A key of up to ``BUCKET`` documents gives its pairs. Equal sets become one node, and a pair stays only if its sets
    differ in no more fragments than they may differ in elements, judged by one byte for each fragment; this removes
-   pairs that share a common n-gram alone. A key of more documents gives edges to its smallest one instead, n - 1 for
-   n documents; such keys are combined within each batch before the shuffle. The components of what is left hold all
-   pairs that can link.
+   pairs that share a common n-gram alone. A key of more documents is large. Sets that share no small key can link
+   only by large ones, and then share as many keys as step 1 says; so a set with fewer large keys than that drops out
+   of them. Those that stay get edges to the smallest one of their key, n - 1 for n documents. A common n-gram alone
+   joins nothing. The components of all these edges hold all pairs that can link.
 3. Sets that are equal count once from here on. A component is dealt into blocks of bounded size; each pair of
    blocks is one unit of work. In it the partial overlaps are counted fragment by fragment of the global order and
-   summed for each pair, and a spanning forest of the links is kept, so no task returns all pairs of a group.
+   summed for each pair. Counts of links and a spanning forest leave it, so no task returns all pairs of a group.
 4. The components of the forests are the result.
 
-The blocks compared grow with the square of a component of different, similar sets divided by the block size;
-exact copies don't count in it. No candidate, key or partner is dropped.
 """
 
 from __future__ import annotations
@@ -34,19 +33,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._rows import batches_of, forest, groups, rows, small_batches
+from quillspark.llm._rows import batches_of, col, forest, groups, rows, small_batches
 from quillspark.llm.shingles import GOLDEN, MIX_1, MIX_2, Shingler, mix
 from quillspark.plans.components import connected_components
 from quillspark.plans.storage import Workspace
 
-SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("marks", pa.binary())])
-KEYS = pa.schema([("key", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
+SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("marks", pa.binary()), ("keys", pa.binary()), ("parts", pa.binary())])
+SETS_DDL = "doc_id long, n_shingles long, h1 long, h2 long, marks binary, keys binary, parts binary"
+#: ``large`` is the key itself where the row goes elsewhere, since its key is known to have many documents.
+KEYS = pa.schema([("key", pa.int64()), ("u", pa.int64()), ("part", pa.int32()), ("need", pa.int32()), ("large", pa.int64())])
+KEYS_DDL = "key long, u long, part int, need int, large long"
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-BUCKETS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("large", pa.bool_())])
-MEMBERS = pa.schema([("cluster", pa.int64()), ("blocks", pa.int64()), ("block", pa.int64()), ("doc_id", pa.int64()), ("items", pa.binary())])
-
-#: Most ids of copies, 8 bytes each, that are sent to every executor.
-BROADCAST_IDS = 2_000_000
+#: A pair of a small key, or a document's membership in a large one.
+BUCKETS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("key", pa.int64()), ("part", pa.int32()), ("need", pa.int32())])
+BUCKETS_DDL = "u long, v long, key long, part int, need int"
+MEMBERS = pa.schema([("cluster", pa.int64()), ("blocks", pa.int64()), ("block", pa.int64()), ("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("copies", pa.int64()), ("items", pa.binary())])
+MEMBERS_DDL = "cluster long, blocks long, block long, doc_id long, h1 long, h2 long, copies long, items binary"
+#: An edge of a forest, or the number of a set's links.
+LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64())])
+
+#: N-grams that two linked sets with many empty fragments share among their first ones, at least.
+PREFIX = 3
 #: Documents of a key that still gives all its pairs: at most 7.5 pairs for each document.
 BUCKET = 16
 
@@ -103,13 +110,16 @@ def _salt(fragments: np.ndarray, level: Level) -> np.ndarray:
     return fragments * np.uint64(GOLDEN) + np.uint64((level.no + 1) * MIX_2 % (1 << 64))
 
 
-def fragment_keys(items: np.ndarray, level: Level) -> np.ndarray:
-    """A 64-bit key for each fragment that is not empty; if more are empty than the slack, also for the first items."""
-    used, keys = _fragments(items, level)
-    if level.fragments - len(used) > level.slack:
-        first = len(items) - (level.percent * len(items) + 99) // 100 + 1
-        keys = np.concatenate([keys, mix(items[:first] ^ np.uint64(GOLDEN))])
-    return keys
+def fragment_keys(items: np.ndarray, level: Level) -> list[tuple[np.ndarray, int]]:
+    """64-bit keys, and how many of them two linked sets share at least: one key for each fragment that is not empty;
+    if more are empty than the slack, also keys of the first items."""
+    n, used_keys = len(items), _fragments(items, level)[1]
+    differ = min(level.differ, (n + n * 100 // level.percent) * (100 - level.percent) // (100 + level.percent))
+    out = [(used_keys, max(1, len(used_keys) - differ))]
+    if level.fragments - len(used_keys) > level.slack:
+        shared = (level.percent * n + 99) // 100
+        out.append((mix(items[: n - shared + PREFIX] ^ np.uint64(GOLDEN)), min(PREFIX, shared)))
+    return out
 
 
 def fragment_marks(items: np.ndarray, levels: list[Level]) -> bytes:
@@ -143,17 +153,6 @@ def can_link(n_a: int, marks_a: bytes, n_b: int, marks_b: bytes, levels: Levels)
     return int(np.count_nonzero(x != y)) <= differ
 
 
-def _sorted(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, doc) rows in order, with the start of each row's key and the number of its documents."""
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])])
-    keys, docs = keys[fresh], docs[fresh]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    size = np.diff(np.append(first, len(keys)))
-    return keys, docs, np.repeat(first, size), np.repeat(size, size)
-
-
 def _distinct(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.unique(np.stack([u, v], 1), axis=0) if len(u) else np.empty((0, 2), np.int64)
 
@@ -162,58 +161,80 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     """Links documents whose shingle sets have 100 * intersection >= percent * union; gives their components.
 
     Returns one row for each input row: ``doc_id, n_shingles, component_id`` (the smallest id reachable, itself
-    included). Null and empty texts, and texts without words, have no shingles and link with nothing; a row with
-    a null id keeps a null component. Rows that repeat an id are one node. Other columns of the input are not read.
+    included) and ``n_links`` (other rows linked directly). Null and empty texts, and texts without words, have no
+    shingles and link with nothing; a row with a null id links with nothing and keeps a null component. Rows that
+    repeat an id are linked one by one, each by its own text. Texts are read whole. Other columns are not read,
+    whatever their names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "jaccard")
     small_batches(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = work.save(texts.mapInArrow(_sets(width, percent), "doc_id long, n_shingles long, h1 long, h2 long, marks binary"))
+    texts = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
+    sets = work.save(texts.mapInArrow(_sets(width, percent), SETS_DDL))
 
     # equal sets have one representative, the smallest id
     full = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    same = work.save(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")))
-
-    # copies give the keys of their representative: they stay out (but for ids of several rows), by a broadcast of their
-    # ids if those are few, else by a join
-    copies = full.join(same.select("h1", "h2", "rep"), ["h1", "h2"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("rep").alias("rep"))
-    copies = work.save(copies.where("rows = 1 AND doc_id != rep").select("doc_id"))
-    few_copies = copies.count() <= BROADCAST_IDS
-    first = texts.where("doc_id IS NOT NULL").join(F.broadcast(copies) if few_copies else copies, "doc_id", "left_anti")
-    keyed = first.mapInArrow(_keys(width, percent), "key long, u long, v long")
-    buckets = keyed.repartition("key").sortWithinPartitions("key", "u").mapInArrow(_edges, "u long, v long, large boolean").groupBy("u", "v").agg(F.max("large").alias("large"))
-    rep_of = full.join(same.select("h1", "h2", "rep"), ["h1", "h2"]).select("doc_id", "rep")
-    ends = buckets.join(rep_of.select(F.col("doc_id").alias("u"), F.col("rep").alias("a")), "u").join(rep_of.select(F.col("doc_id").alias("v"), F.col("rep").alias("b")), "v")
-    ends = work.save(ends.where("a != b").groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.max("large").alias("large")))
+    same = work.save(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies")))
+    alone = sets.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", "h1", "h2", F.lit(None).cast("long").alias("rep"), F.lit(1).cast("long").alias("copies"))
+    every = full.select("doc_id", "n_shingles", "h1", "h2").join(same.select("h1", "h2", "rep", "copies"), ["h1", "h2"])
+    every = work.save(every.select("doc_id", "n_shingles", "h1", "h2", "rep", "copies").unionByName(alone))
+    rep_of = every.where("rep IS NOT NULL").select("doc_id", "rep")
+
+    # copies give the keys of their representative: they stay out, but for ids of several rows
+    copies = rep_of.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("rep").alias("rep")).where("rows = 1 AND doc_id != rep").select("doc_id")
+    keyed = full.select("doc_id", "keys", "parts").join(copies, "doc_id", "left_anti").mapInArrow(_keys, KEYS_DDL)
+    buckets = work.save(keyed.repartition("key").sortWithinPartitions("key", "u").mapInArrow(_buckets, BUCKETS_DDL))
+    ends = work.save(_by_rep(buckets.where("v IS NOT NULL").select("u", "v").distinct(), rep_of).unionByName(_by_rep(_stars(buckets), rep_of).withColumn("large", F.lit(True)), allowMissingColumns=True))
+    work.drop(buckets)
     marks = full.select(F.col("doc_id").alias("id_"), F.col("n_shingles").alias("n_"), F.col("marks").alias("marks_"))
     marks = marks.join(same.select(F.col("rep").alias("id_")), "id_", "left_semi").distinct()
-    few = ends.where("NOT large").select("u", "v")
+    few = ends.where("large IS NULL").select("u", "v")
     few = few.join(marks.toDF("u", "n_u", "marks_u"), "u").join(marks.toDF("v", "n_v", "marks_v"), "v").select("u", "n_u", "marks_u", "v", "n_v", "marks_v")
     candidates = few.mapInArrow(_likely(percent), "u long, v long").unionByName(ends.where("large").select("u", "v"))
     clusters = connected_components(candidates)
-    members = clusters.join(same.select(F.col("rep").alias("node"), "n"), "node")
+    members = clusters.join(same.withColumnRenamed("rep", "node"), "node")
     size = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("items")).where("m > 1")
     blocks = F.greatest(F.ceil(F.col("m") / block_rows), F.ceil(F.col("items") / block_items)).cast("long")
     dealt = members.join(size.select("component", blocks.alias("blocks")), "component").select(
-        F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block")
+        F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "h1", "h2", "copies"
     )
     dealt = work.save(dealt)
-    held = texts.join(dealt, "doc_id").select("cluster", "blocks", "block", "doc_id", "text")
-    held = held.mapInArrow(_members(width), "cluster long, blocks long, block long, doc_id long, items binary")
+    work.drop(sets)
+    work.drop(ends)
+    work.drop(same)
+    held = texts.join(dealt, "doc_id").select("cluster", "blocks", "block", "doc_id", "h1", "h2", "copies", "text")
+    held = held.mapInArrow(_members(width), MEMBERS_DDL)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    pairs = held.select("cluster", "block", "doc_id", "items", other).select(
-        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "items"
+    tiles = held.select("cluster", "block", "doc_id", "h1", "h2", "copies", "items", other).select(
+        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "h1", "h2", "copies", "items"
     )
-    links = pairs.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block", "doc_id").mapInArrow(_links(percent), "u long, v long")
-    linked = connected_components(links)
-
-    reps = full.join(same.select("h1", "h2", "rep"), ["h1", "h2"]).select("doc_id", "n_shingles", "rep")
-    found = reps.join(linked, reps.rep == linked.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    alone = sets.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    tiles = tiles.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block", "doc_id")
+    links = work.save(tiles.mapInArrow(_links(percent), "u long, v long, h1 long, h2 long, n long"))
+    work.drop(dealt)
+    linked = connected_components(links.where("v IS NOT NULL").select("u", "v"))
+    counts = links.where("v IS NULL").groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+
+    found = every.where("rep IS NOT NULL").join(counts, ["h1", "h2"], "left").join(linked, F.col("rep") == F.col("node"), "left")
+    found = found.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    alone = every.where("rep IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return found.unionByName(alone)
 
 
+def _by_rep(edges: DataFrame, rep_of: DataFrame) -> DataFrame:
+    """Edges between the representatives of their ends' sets, each once."""
+    ends = edges.join(rep_of.toDF("u", "a"), "u").join(rep_of.toDF("v", "b"), "v").where("a != b")
+    return ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
+def _stars(buckets: DataFrame) -> DataFrame:
+    """Edges of large keys: documents with enough of them, each with the smallest one of the key."""
+    large = buckets.where("v IS NULL").select("key", "u", "part", "need")
+    enough = large.groupBy("u", "part").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need").select("u", "part")
+    kept = large.select("key", "u", "part").join(enough, ["u", "part"], "left_semi")
+    least = kept.groupBy("key").agg(F.min("u").alias("v"))
+    return kept.select("key", "u").join(least, "key").where("u != v").select("u", "v").distinct()
+
+
 def _sets(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, levels = Shingler(width), Levels(percent)
@@ -222,85 +243,107 @@ def _sets(width: int, percent: int):
             for doc, text in rows(batches):
                 items = shingles(text)
                 digest = xxhash.xxh3_128_digest(items.tobytes())
-                yield doc, len(items), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), fragment_marks(items, levels.of(len(items)) if len(items) else [])
+                found = levels.of(len(items)) if len(items) else []
+                keys = [(2 * level.no + k, need, part) for level in found for k, (part, need) in enumerate(fragment_keys(items, level))]
+                parts = np.array([(no, need, len(part)) for no, need, part in keys], np.int32).tobytes()
+                yield doc, len(items), *np.frombuffer(digest, "<i8").tolist(), fragment_marks(items, found), b"".join(part.tobytes() for _, _, part in keys), parts
 
         yield from batches_of(SETS, out())
 
     return run
 
 
-def _keys(width: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, levels = Shingler(width), Levels(percent)
-        keys, docs, held = [], [], 0
-        for doc, text in rows(batches):
-            items = shingles(text)
-            for level in levels.of(len(items)) if len(items) else ():
-                keys.append(fragment_keys(items, level))
-                docs.append(np.full(len(keys[-1]), doc, np.int64))
-                held += len(keys[-1])
-            if held >= 200_000:
-                yield _combined(keys, docs)
-                keys, docs, held = [], [], 0
-        if held:
-            yield _combined(keys, docs)
-
-    return run
-
-
-def _combined(keys: list[np.ndarray], docs: list[np.ndarray]) -> pa.RecordBatch:
-    """Rows of keys; of a key with more than BUCKET documents one more than that, and edges for the others."""
-    key, doc, start, _ = _sorted(np.concatenate(keys), np.concatenate(docs))
-    kept = np.arange(len(key)) - start <= BUCKET
-    edges = _distinct(doc[start[~kept]], doc[~kept])
-    spread = mix(edges[:, 0].astype(np.uint64) * np.uint64(GOLDEN) + edges[:, 1].astype(np.uint64))
-    none = pa.nulls(int(kept.sum()), pa.int64())
-    columns = [pa.array(np.concatenate([key[kept], spread]).view(np.int64)), pa.array(np.concatenate([doc[kept], edges[:, 0]])), pa.concat_arrays([none, pa.array(edges[:, 1])])]
-    return pa.RecordBatch.from_arrays(columns, schema=KEYS)
-
-
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs and edges of rows sorted by key and document; of a key that goes on only its first rows are held."""
-
-    def out(edges: np.ndarray, large: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1]), pa.array(np.full(len(edges), large))], schema=BUCKETS)
-
-    def drain(keys: np.ndarray, docs: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key, doc, start, size = _sorted(keys, docs)
-        star = (size > BUCKET) & (np.arange(len(key)) != start)
-        if star.any():
-            yield out(_distinct(doc[start[star]], doc[star]), True)
-        pairs, few = [], size <= BUCKET
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each key of a set."""
+    keys, docs, parts, held = [], [], [], 0
+    for doc, packed, about in rows(batches):
+        if packed:
+            sizes = np.frombuffer(about, np.int32).reshape(-1, 3)
+            keys.append(np.frombuffer(packed, np.uint64))
+            docs.append(np.full(len(keys[-1]), doc, np.int64))
+            parts.append(np.repeat(sizes[:, :2], sizes[:, 2], axis=0))
+            held += len(keys[-1])
+        if held >= 200_000:
+            yield _spread(keys, docs, parts)
+            keys, docs, parts, held = [], [], [], 0
+    if held:
+        yield _spread(keys, docs, parts)
+
+
+def _places(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by key and document: the number of the row's document among those of its key, and how many those are."""
+    new_key = np.concatenate([[True], keys[1:] != keys[:-1]])
+    new_doc = new_key | np.concatenate([[True], docs[1:] != docs[:-1]])
+    count, starts = np.cumsum(new_doc), np.flatnonzero(new_key)
+    rows_of = np.diff(np.append(starts, len(keys)))
+    size = np.diff(np.append(count[starts], count[-1] + 1))
+    return count - np.repeat(count[starts], rows_of), np.repeat(size, rows_of)
+
+
+def _spread(keys: list[np.ndarray], docs: list[np.ndarray], parts: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of keys; of a key with more than BUCKET documents one more than that go to its task, the others anywhere."""
+    key, doc, part = np.concatenate(keys), np.concatenate(docs), np.concatenate(parts)
+    order = np.lexsort((doc, key))
+    key, doc, part = key[order], doc[order], part[order]
+    away = _places(key, doc)[0] > BUCKET
+    to = np.where(away, mix(key * np.uint64(GOLDEN) + doc.astype(np.uint64)), key)
+    large = pa.array(key.view(np.int64), mask=~away)
+    return pa.RecordBatch.from_arrays([pa.array(to.view(np.int64)), pa.array(doc), pa.array(np.ascontiguousarray(part[:, 0])), pa.array(np.ascontiguousarray(part[:, 1])), large], schema=KEYS)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of small keys and memberships in large ones, of rows sorted by key and document; of a key that goes on
+    no more than a batch and a few rows are held."""
+
+    def member(table: np.ndarray) -> pa.RecordBatch:
+        key, doc, part, need = table
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.nulls(len(doc), pa.int64()), pa.array(key), pa.array(part.astype(np.int32)), pa.array(need.astype(np.int32))], schema=BUCKETS)
+
+    def drain(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, doc = table[0], table[1]
+        place, size = _places(key, doc)
+        if (size > BUCKET).any():
+            yield member(table[:, size > BUCKET])
+        first = (size > 1) & (size <= BUCKET) & np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
+        key, doc = key[first], doc[first]
+        pairs = []
         for step in range(1, BUCKET):
-            i = np.flatnonzero(few[:-step] & (key[step:] == key[:-step])) if len(key) > step else np.empty(0, np.int64)
+            i = np.flatnonzero(key[step:] == key[:-step]) if len(key) > step else np.empty(0, np.int64)
             if not len(i):
                 break
             pairs.append(np.stack([doc[i], doc[i + step]], 1))
         if pairs:
-            yield out(np.unique(np.concatenate(pairs), axis=0), False)
+            found = _distinct(*np.concatenate(pairs).T)
+            none = pa.nulls(len(found), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy()), pa.nulls(len(found), pa.int64()), none, none], schema=BUCKETS)
 
-    held_keys, held_docs = np.empty(0, np.int64), np.empty(0, np.int64)
+    held, hot = np.empty((4, 0), np.int64), None
     for batch in batches:
-        known = batch.column(2).is_valid()
-        if known.true_count:
-            ready = batch.filter(known)
-            yield out(np.stack([ready.column(1).to_numpy(), ready.column(2).to_numpy()], 1), True)
-            batch = batch.filter(batch.column(2).is_null())
-        if not batch.num_rows:
-            continue
-        keys, docs = np.concatenate([held_keys, batch.column(0).to_numpy()]), np.concatenate([held_docs, batch.column(1).to_numpy()])
-        last = int(np.searchsorted(keys, keys[-1]))
-        if last:
-            yield from drain(keys[:last], docs[:last])
-        held_keys, held_docs = keys[last:], docs[last:]
-        if len(held_keys) > 4096:
-            kept = np.unique(held_docs)
-            if len(kept) > BUCKET + 1:
-                yield out(_distinct(np.full(len(kept) - BUCKET - 1, kept[0]), kept[BUCKET + 1 :]), True)
-            held_docs = kept[: BUCKET + 1]
-            held_keys = np.full(len(held_docs), keys[-1])
-    if len(held_keys):
-        yield from drain(held_keys, held_docs)
+        table = np.stack([batch.column(i).to_numpy() for i in range(4)]).astype(np.int64)
+        known = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+        if known.any():
+            away = table[:, known]
+            away[0] = batch.column(4).filter(batch.column(4).is_valid()).to_numpy()
+            yield member(away)
+            table = table[:, ~known]
+        if hot is not None and table.shape[1]:  # more rows of a key that has been found to be large
+            more = table[0] == hot
+            if more.any():
+                yield member(table[:, more])
+                table = table[:, ~more]
+            if table.shape[1]:
+                hot = None
+        held = np.concatenate([held, table], axis=1)
+        if held.shape[1]:
+            last = int(np.searchsorted(held[0], held[0, -1]))
+            if last:
+                yield from drain(held[:, :last])
+            held = held[:, last:]
+            if held.shape[1] > 4096 and _places(held[0], held[1])[1][0] > BUCKET:
+                yield member(held)
+                hot, held = int(held[0, 0]), held[:, :0]
+    if held.shape[1]:
+        yield from drain(held)
 
 
 def _likely(percent: int):
@@ -314,7 +357,15 @@ def _likely(percent: int):
 def _members(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
-        yield from batches_of(MEMBERS, ((*row[:4], shingles(row[4]).tobytes()) for row in rows(batches)), size=1024)
+
+        def out():
+            for cluster, blocks, block, doc, h1, h2, copies, text in rows(batches):
+                items = shingles(text).tobytes()
+                # of rows that share an id those with another set are members of their own
+                if np.frombuffer(xxhash.xxh3_128_digest(items), "<i8").tolist() == [h1, h2]:
+                    yield cluster, blocks, block, doc, h1, h2, copies, items
+
+        yield from batches_of(MEMBERS, out(), size=1024)
 
     return run
 
@@ -323,17 +374,23 @@ def _links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out():
             for (_, i, j), found in groups(batches, 3):
-                ids = np.array([x[1] for x in found])
-                block = np.array([x[0] for x in found])
-                items = [np.frombuffer(x[2], np.uint64) for x in found]
+                # rows that repeat an id have the same set: one of them counts
+                found = list({x[2:4]: x for x in found}.values())
+                block, ids, copies = (np.array([x[k] for x in found]) for k in (0, 1, 4))
+                items = [np.frombuffer(x[5], np.uint64) for x in found]
                 left = np.flatnonzero(block == i)
                 right = left if i == j else np.flatnonzero(block == j)
                 if len(left) and len(right):
                     links = linked([items[x] for x in left], [items[x] for x in right], percent)
+                    if i == j:
+                        np.fill_diagonal(links, False)
+                    for at, n in [*zip(left, links @ copies[right], strict=True), *(zip(right, copies[left] @ links, strict=True) if i != j else ())]:
+                        if n:
+                            yield None, None, *found[at][2:4], int(n)
                     nodes = np.concatenate([ids[left], ids[right]])
-                    yield from ((int(nodes[a]), int(nodes[b])) for a, b in forest(links) if nodes[a] != nodes[b])
+                    yield from ((int(nodes[a]), int(nodes[b]), None, None, None) for a, b in forest(links) if nodes[a] != nodes[b])
 
-        yield from batches_of(EDGES, out())
+        yield from batches_of(LINKS, out())
 
     return run
 

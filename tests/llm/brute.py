@@ -44,6 +44,11 @@ def jaccard(texts, width, percent):
     return {k: (len(s), groups.root(k)) for k, s in sets.items()}
 
 
+def jaccard_links(texts, width, percent):
+    sets = {k: shingle_set(t, width) for k, t in texts.items()}
+    return {k: sum(o != k and bool(s) and 100 * len(s & t) >= percent * len(s | t) for o, t in sets.items()) for k, s in sets.items()}
+
+
 def near(vectors, threshold):
     """vectors: id -> (label, list or None)."""
     good = {}
