@@ -40,9 +40,11 @@ from quillspark.plans.storage import Workspace
 
 SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("marks", pa.binary()), ("keys", pa.binary()), ("parts", pa.binary())])
 SETS_DDL = "doc_id long, n_shingles long, h1 long, h2 long, marks binary, keys binary, parts binary"
-#: ``large`` is the key itself where the row goes elsewhere, since its key is known to have many documents.
-KEYS = pa.schema([("key", pa.int64()), ("u", pa.int64()), ("part", pa.int32()), ("need", pa.int32()), ("large", pa.int64())])
-KEYS_DDL = "key long, u long, part int, need int, large long"
+#: ``about`` holds part and need, and whether the row goes elsewhere, since its key is known to have many documents;
+#: ``key`` is then changed by a bijection of the document.
+KEYS = pa.schema([("key", pa.int64()), ("u", pa.int64()), ("about", pa.int64())])
+KEYS_DDL = "key long, u long, about long"
+ELSEWHERE = 1 << 62
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 #: A pair of a small key, or a document's membership in a large one.
 BUCKETS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("key", pa.int64()), ("part", pa.int32()), ("need", pa.int32())])
@@ -182,10 +184,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
 
     # copies give the keys of their representative: they stay out, but for ids of several rows
     copies = rep_of.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("rep").alias("rep")).where("rows = 1 AND doc_id != rep").select("doc_id")
+    copies = work.save(copies)  # of a known size, so that keys need not move to meet a few of them
     keyed = full.select("doc_id", "keys", "parts").join(copies, "doc_id", "left_anti").mapInArrow(_keys, KEYS_DDL)
     buckets = work.save(keyed.repartition("key").sortWithinPartitions("key", "u").mapInArrow(_buckets, BUCKETS_DDL))
     ends = work.save(_by_rep(buckets.where("v IS NOT NULL").select("u", "v").distinct(), rep_of).unionByName(_by_rep(_stars(buckets), rep_of).withColumn("large", F.lit(True)), allowMissingColumns=True))
     work.drop(buckets)
+    work.drop(copies)
     marks = full.select(F.col("doc_id").alias("id_"), F.col("n_shingles").alias("n_"), F.col("marks").alias("marks_"))
     marks = marks.join(same.select(F.col("rep").alias("id_")), "id_", "left_semi").distinct()
     few = ends.where("large IS NULL").select("u", "v")
@@ -286,9 +290,9 @@ def _spread(keys: list[np.ndarray], docs: list[np.ndarray], parts: list[np.ndarr
     order = np.lexsort((doc, key))
     key, doc, part = key[order], doc[order], part[order]
     away = _places(key, doc)[0] > BUCKET
-    to = np.where(away, mix(key * np.uint64(GOLDEN) + doc.astype(np.uint64)), key)
-    large = pa.array(key.view(np.int64), mask=~away)
-    return pa.RecordBatch.from_arrays([pa.array(to.view(np.int64)), pa.array(doc), pa.array(np.ascontiguousarray(part[:, 0])), pa.array(np.ascontiguousarray(part[:, 1])), large], schema=KEYS)
+    to = np.where(away, key ^ mix(doc.astype(np.uint64)), key)
+    about = part[:, 0].astype(np.int64) << 32 | part[:, 1] | np.where(away, ELSEWHERE, 0)
+    return pa.RecordBatch.from_arrays([pa.array(to.view(np.int64)), pa.array(doc), pa.array(about)], schema=KEYS)
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,8 +300,9 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     no more than a batch and a few rows are held."""
 
     def member(table: np.ndarray) -> pa.RecordBatch:
-        key, doc, part, need = table
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.nulls(len(doc), pa.int64()), pa.array(key), pa.array(part.astype(np.int32)), pa.array(need.astype(np.int32))], schema=BUCKETS)
+        key, doc, about = table
+        part, need = (about >> 32).astype(np.int32), (about & 0xFFFFFFFF).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.nulls(len(doc), pa.int64()), pa.array(key), pa.array(part), pa.array(need)], schema=BUCKETS)
 
     def drain(table: np.ndarray) -> Iterator[pa.RecordBatch]:
         key, doc = table[0], table[1]
@@ -317,13 +322,14 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             none = pa.nulls(len(found), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy()), pa.nulls(len(found), pa.int64()), none, none], schema=BUCKETS)
 
-    held, hot = np.empty((4, 0), np.int64), None
+    held, hot = np.empty((3, 0), np.int64), None
     for batch in batches:
-        table = np.stack([batch.column(i).to_numpy() for i in range(4)]).astype(np.int64)
-        known = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+        table = np.stack([column.to_numpy() for column in batch.columns])
+        known = table[2] >= ELSEWHERE
         if known.any():
             away = table[:, known]
-            away[0] = batch.column(4).filter(batch.column(4).is_valid()).to_numpy()
+            away[0] ^= mix(away[1].astype(np.uint64)).view(np.int64)
+            away[2] -= ELSEWHERE
             yield member(away)
             table = table[:, ~known]
         if hot is not None and table.shape[1]:  # more rows of a key that has been found to be large
