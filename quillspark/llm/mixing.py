@@ -67,14 +67,16 @@ def mix_sources(docs: DataFrame, weights: dict[str, int], other: int = 1, block_
         raise ValueError("weights are positive integers")
     shares = dict(weights) | {OTHER: other}
     group_, block_, slot_, start_ = place_names(docs.columns)
-    key_, size_, range_, sum_, base_, within_, p_, q_, j_, at_ = frees([*docs.columns, group_, block_, slot_, start_], "key_", "size_", "range_", "sum_", "base_", "within_", "p_", "q_", "j_", "at_")
+    key_, size_, range_, wide_, sum_, total_, base_, within_, p_, q_, j_, at_ = frees([*docs.columns, group_, block_, slot_, start_], "key_", "size_", "range_", "wide_", "sum_", "total_", "base_", "within_", "p_", "q_", "j_", "at_")
     group = F.when(col(source_col).isin(*weights), col(source_col)).otherwise(F.lit(OTHER))
     size = (F.length(F.coalesce(col(text_col), F.lit(""))) + 1).cast("long")
     key = F.md5(F.concat(F.coalesce(col(id_col).cast("string"), F.lit("")), F.lit(":"), size.cast("string")))
     sized = docs.select(*map(col, docs.columns), group.alias(group_), key.alias(key_), size.alias(size_)).withColumn(range_, F.substring(key_, 1, RANGE_DIGITS))
-    ranges = sized.groupBy(group_, range_).agg(F.sum(size_).alias(sum_))
-    before = F.sum(sum_).over(Window.partitionBy(group_).orderBy(range_).rowsBetween(Window.unboundedPreceding, -1))
-    ranges = ranges.select(group_, range_, F.coalesce(before, F.lit(0)).alias(base_))
+    ranges = sized.groupBy(group_, range_).agg(F.sum(size_).alias(sum_)).withColumn(wide_, F.substring(range_, 1, RANGE_DIGITS // 2))
+    # sums before a range: of the wider ranges before its own, 256 for a group, and of the ranges before it in that
+    inside, across = (Window.partitionBy(group_, *more).orderBy(by).rowsBetween(Window.unboundedPreceding, -1) for more, by in (((wide_,), range_), ((), wide_)))
+    wider = ranges.groupBy(group_, wide_).agg(F.sum(sum_).alias(total_)).select(group_, wide_, F.coalesce(F.sum(total_).over(across), F.lit(0)).alias(total_))
+    ranges = ranges.withColumn(sum_, F.coalesce(F.sum(sum_).over(inside), F.lit(0))).join(wider, [group_, wide_]).select(group_, range_, (F.col(sum_) + F.col(total_)).alias(base_))
     order = Window.partitionBy(group_, range_).orderBy(key_).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn(within_, F.coalesce(F.sum(size_).over(order), F.lit(0))).join(ranges, [group_, range_])
     begin = F.col(base_) + F.col(within_)

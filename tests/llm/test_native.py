@@ -61,7 +61,7 @@ def test_boilerplate_in_very_long_texts(spark):
     assert got[0][0] == 0 and all(got[i] == (60_001, str(i)) for i in (1, 2, 3))
 
 
-PLACES = ["group_", "block_", "slot_", "start_", "key_", "size_", "range_", "sum_", "base_", "within_", "p_", "q_", "j_", "at_", "i_", "a.b"]
+PLACES = ["group_", "block_", "slot_", "start_", "key_", "size_", "range_", "sum_", "total_", "wide_", "base_", "within_", "p_", "q_", "j_", "at_", "i_", "a.b"]
 
 
 def test_mix_with_clashing_names(spark):
