@@ -16,7 +16,7 @@ from quillspark.functions.scoring import RuleScorer
 from quillspark.operators import cascade, dedup, evaluate, lexicon, match, report, segment
 from quillspark.plans import extraction
 from quillspark.plans.components import connected_components
-from quillspark.plans.storage import Workspace
+from quillspark.plans.storage import Workspace, dealt
 from quillspark.streaming import event_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,8 +32,12 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _sentences(spark, d):
-    return segment.sentences_of_texts(_t(spark, d, "documents"))
+def _documents(spark, d):
+    return dealt(_t(spark, d, "documents").select("doc_id", "text"))
+
+
+def _sentences(spark, d, offsets=False):
+    return segment.sentences_of_texts(_documents(spark, d), offsets=offsets)
 
 
 def _lexicon(spark, rows=sql.LEXICON):
@@ -41,7 +45,7 @@ def _lexicon(spark, rows=sql.LEXICON):
 
 
 def _mentions(spark, d):
-    return cascade.run_cascade(extraction.candidates(_sentences(spark, d), _lexicon(spark, sql.ARTIFACT_LEXICON)), RuleScorer())
+    return cascade.run_cascade(extraction.candidates(_sentences(spark, d, offsets=True), _lexicon(spark, sql.ARTIFACT_LEXICON)), RuleScorer())
 
 
 def _clusters(spark, d):
@@ -195,7 +199,7 @@ def annotated_copies(spark, d):
 
 
 def _cited(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.concat(F.substring("text", 1, 20), F.lit(sql.CITED)).alias("text"))
+    return _documents(spark, d).select("doc_id", F.concat("text", F.lit(sql.CITED)).alias("text"))
 
 
 @query
@@ -227,19 +231,18 @@ def url_filter(spark, d):
 
 @query
 def prompts(spark, d):
-    s = _sentences(spark, d).where("sent = 0")
-    return s.select("doc_id", "par", F.md5(T.make_prompt("text", T.question("name", F.lit("dataset")))).alias("prompt_md5"))
+    return _sentences(spark, d).select("doc_id", "par", "sent", F.md5(T.make_prompt("text", T.question("name", F.lit("dataset")))).alias("prompt_md5"))
 
 
 @query
 def section_titles(spark, d):
-    words = segment.paragraphs(_t(spark, d, "documents")).select("doc_id", "par", F.concat_ws(" ", F.element_at(F.array(*map(F.lit, ("Background", "Related", "Relatedness", "On", ""))), (F.col("par") % 5 + 1)), F.substring("text", 1, 12)).alias("title"))
+    words = segment.paragraphs(_t(spark, d, "documents")).select("doc_id", "par", F.concat_ws(" ", F.element_at(F.array(*map(F.lit, ("Background", "Related", "Relatedness", "On", ""))), (F.col("par") % 5 + 1)), "text").alias("title"))
     return words.select("doc_id", "par", T.is_valid_section_title("title").alias("valid"))
 
 
 @query
 def acronyms(spark, d):
-    return segment.paragraphs(_t(spark, d, "documents")).where("par = 0").select("doc_id", T.acronym(F.substring("text", 1, 40)).alias("acronym"))
+    return segment.paragraphs(_documents(spark, d)).select("doc_id", "par", T.acronym("text").alias("acronym"))
 
 
 @query
@@ -343,7 +346,8 @@ def acronym_edges(spark, d):
 
 @query
 def components(spark, d):
-    o = _t(spark, d, "orders").select((F.col("o_custkey") % 997).alias("u"), (F.col("o_orderkey") % 1499 + 1000).alias("v")).where("u % 7 = v % 11")
+    """Customers (their keys) and their orders (numbers below zero): every order is an edge."""
+    o = _t(spark, d, "orders").select(F.col("o_custkey").alias("u"), (-1 - F.col("o_orderkey")).alias("v"))
     return connected_components(o).select("node", "component")
 
 

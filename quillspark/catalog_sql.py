@@ -112,7 +112,7 @@ entries AS (SELECT DISTINCT phrase, type FROM snips WHERE phrase != '')"""
 _url_texts = f"texts AS (SELECT page_id, 'See ' || url || {q(URL_TAIL)} || page_id::VARCHAR || '.' AS text FROM pages)"
 _graded = "graded AS (SELECT doc_id, lang, length(text) < 600 AS p, quality = 0 AS g, text[1:3] AS a, upper(text[2:4]) AS b FROM documents JOIN labels USING (doc_id))"
 _no_stop = " AND ".join(f"NOT list_contains(string_split_regex(lower(x), '\\s+'), {q(s)})" for s in CITATION_STOPWORDS)
-_cited = f"cited AS (SELECT doc_id, text[1:20] || {q(CITED)} AS text FROM documents)"
+_cited = f"cited AS (SELECT doc_id, text || {q(CITED)} AS text FROM documents)"
 
 
 def _marks(pattern: str, stop: bool = False) -> str:
@@ -142,13 +142,13 @@ ORACLES: dict[str, str] = {
     "paragraph_type_groups": f"WITH {SENTS},{spans(ARTIFACT_LEXICON)},{NUMBERED} SELECT doc_id, par::INT AS par, type, string_agg(annotated, '|' ORDER BY cand_no) AS annotated FROM numbered GROUP BY ALL",
     "candidate_counts": f"WITH {SENTS},{spans(LEXICON)} SELECT doc_id, par::INT AS par, kind, count(*) AS n FROM found GROUP BY ALL",
     "annotated_copies": f"WITH {SENTS}, at_ AS (SELECT *, unnest(list_filter(range(0, length(text)), lambda i: text[i + 1:i + 7] = 'License')) AS s FROM sents WHERE contains(text, 'License')) SELECT doc_id, par::INT AS par, sent::INT AS sent, (row_number() OVER (PARTITION BY doc_id, par, sent ORDER BY s) - 1)::INT AS i, text[1:s] || '<m>License</m>' || text[s + 8:] AS copy FROM at_",
-    "citations": f"WITH {_cited} SELECT doc_id, {_marks('[\\[(][^\\]\\[)(]*?et al.*?(?:\\]|\\)|$)')} AS m0, {_marks('\\[\\s*\\d+\\s*\\]')} AS m1, {_marks('\\[\\s*[A-Z](?:\\w+\\s+(?:&\\s+)?)+\\d+\\s*(?:\\]|$)', True)} AS m1b, {_marks('\\(\\s*\\d+\\s*\\)')} AS m2, {_marks('\\(\\s*[A-Z](?:\\w+\\s+(?:&\\s+)?)+\\d+\\s*(?:\\)|$)', True)} AS m2b, true AS has FROM cited",
+    "citations": f"WITH {_cited} SELECT doc_id, {_marks('[\\[(][^\\]\\[)(]*?et al.*?(?:\\]|\\)|$)')} AS m0, {_marks('\\[\\s*\\d+\\s*\\]')} AS m1, {_marks('\\[\\s*[A-Z](?:[\\pL\\pM\\pN_]+\\s+(?:&\\s+)?)+\\d+\\s*(?:\\]|$)', True)} AS m1b, {_marks('\\(\\s*\\d+\\s*\\)')} AS m2, {_marks('\\(\\s*[A-Z](?:[\\pL\\pM\\pN_]+\\s+(?:&\\s+)?)+\\d+\\s*(?:\\)|$)', True)} AS m2b, true AS has FROM cited",
     "urls": f"WITH {_url_texts} SELECT page_id, array_to_string(list_filter({_url}, lambda u: {_no_noise}), '|') AS urls FROM texts",
     "code_host_urls": f"WITH {_url_texts} SELECT page_id, array_to_string(list_filter({_url}, lambda u: {' OR '.join(f'contains(u, {q(h)})' for h in CODE_HOSTS)}), '|') AS urls FROM texts",
     "url_filter": "SELECT DISTINCT page_id, part, NOT regexp_matches(part, '^(?:\\d+\\.?)+$') AND NOT regexp_matches(part, '^\\d+\\.\\w+$') AS is_url FROM (SELECT page_id, unnest(string_split_regex(url, '[/?]+')) AS part FROM pages)",
-    "prompts": f"WITH {SENTS} SELECT doc_id, par::INT AS par, md5('### Snippet: ' || text || ' ### Question: ' || {q(QUESTIONS['name'].replace('{t}', 'dataset'))} || ' ### Answer:') AS prompt_md5 FROM sents WHERE sent = 0",
-    "section_titles": f"WITH {PARS} SELECT doc_id, par::INT AS par, par % 5 NOT IN (0, 1) AND NOT regexp_matches(lower(line[1:12]), '\\b(related|background)\\b') AS valid FROM pars",
-    "acronyms": f"WITH {PARS} SELECT doc_id, replace(upper(array_to_string(list_transform(list_filter(string_split_regex(trim(line[1:40]), '\\s+'), lambda x: x != ''), lambda x: x[1]), '')), 'ẞ', 'SS') AS acronym FROM pars WHERE par = 0",
+    "prompts": f"WITH {SENTS} SELECT doc_id, par::INT AS par, sent::INT AS sent, md5('### Snippet: ' || text || ' ### Question: ' || {q(QUESTIONS['name'].replace('{t}', 'dataset'))} || ' ### Answer:') AS prompt_md5 FROM sents",
+    "section_titles": f"WITH {PARS} SELECT doc_id, par::INT AS par, par % 5 NOT IN (0, 1) AND NOT regexp_matches(lower(line), '\\b(related|background)\\b') AS valid FROM pars",
+    "acronyms": f"WITH {PARS} SELECT doc_id, par::INT AS par, replace(upper(array_to_string(list_transform(list_filter(string_split_regex(trim(line), '\\s+'), lambda x: x != ''), lambda x: x[1]), '')), 'ẞ', 'SS') AS acronym FROM pars",
     "acronym_match": "WITH n AS (SELECT c_mktsegment || ' (' || upper(c_mktsegment[1:3]) || ') ' || c_name AS name FROM customer) SELECT name, regexp_matches(name, '(?:^|\\s|\\(|\\[)' || upper(name[1:3]) || '(?:$|\\s|\\)|\\])') AS contained, true AS is_acronym, upper(c_mktsegment_first(name)) = 'A(C' AS abbreviates FROM n".replace("upper(c_mktsegment_first(name))", "upper(name[1] || '(' || regexp_extract(name, '\\) (.)', 1))"),
     "distinct_in_order": "SELECT user_id, string_agg(event_type, '|' ORDER BY f) AS types FROM (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY ALL) GROUP BY user_id",
     "choice_shares": "SELECT event_id, round((exp(value % 5) + exp(0.5)) / (exp(value % 5) + exp(0.5) + exp(1.0)), 6) AS p_yes FROM events",
@@ -164,7 +164,7 @@ ORACLES: dict[str, str] = {
     "citation_edges": f"{CITED_MENTIONS} SELECT * FROM cedges",
     "merged_groups": f"{CITED_MENTIONS} SELECT g.doc_id, g.type, g.name, coalesce(min(e.a), g.grp) AS grp FROM grps g LEFT JOIN cedges e ON g.doc_id = e.doc_id AND g.type = e.type AND g.grp = e.b GROUP BY g.doc_id, g.type, g.name, g.grp",
     "acronym_edges": "WITH l AS (SELECT c_nationkey::BIGINT AS doc_id, c_mktsegment || ' Data ' || c_custkey AS name, c_custkey AS grp FROM customer), s AS (SELECT c_nationkey::BIGINT AS doc_id, c_mktsegment[1:9] AS short, min(c_custkey) + 1000000000 AS grp FROM customer GROUP BY ALL) SELECT DISTINCT l.doc_id, 'dataset' AS type, l.grp AS a, s.grp AS b FROM l JOIN s ON l.doc_id = s.doc_id AND starts_with(l.name, s.short || ' ')",
-    "components": "WITH RECURSIVE e AS (SELECT o_custkey % 997 AS u, o_orderkey % 1499 + 1000 AS v FROM orders WHERE (o_custkey % 997) % 7 = (o_orderkey % 1499 + 1000) % 11), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(node, seen) AS (SELECT u, u FROM b UNION SELECT b.v, r.seen FROM r JOIN b ON r.node = b.u) SELECT node, min(seen) AS component FROM r GROUP BY node",
+    "components": "WITH c AS (SELECT o_custkey, min(-1 - o_orderkey) AS component FROM orders GROUP BY o_custkey) SELECT o_custkey AS node, component FROM c UNION ALL SELECT -1 - o_orderkey, component FROM orders JOIN c USING (o_custkey)",
     "clusters": f"{CLUSTERS} SELECT doc_id, mention_id, type, label, cluster FROM clustered",
     "artifact_report": f"{REPORT} SELECT * FROM report",
     "simple_lists": f"{REPORT} SELECT doc_id, type, label, regexp_replace(licenses, ' \\([^ \\n]*%\\)', '', 'g') AS licenses, regexp_replace(versions, ' \\([^ \\n]*%\\)', '', 'g') AS versions FROM report",

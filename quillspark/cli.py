@@ -7,8 +7,10 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.functions.fixed import DATA_PHRASES, SOFTWARE_PHRASES
+from quillspark.functions.scoring import RuleScorer
 from quillspark.operators import lexicon, report, segment
-from quillspark.plans.extraction import extract, extract_fast, reevaluate
+from quillspark.plans.extraction import extract, extract_fast, reevaluate, with_own_entries
 from quillspark.sources import readers, writers
 
 
@@ -19,11 +21,13 @@ def parser() -> argparse.ArgumentParser:
     mode = p.add_mutually_exclusive_group()
     for name in ("text_mode", "xml_mode", "parquet_mode", "pdf_mode"):
         mode.add_argument(f"--{name}", action="store_true")
-    for name in ("fast_mode", "filter_paragraphs", "perform_deduplication", "split_sentences", "reevaluate", "reevaluate_only", "compress_output"):
+    for name in ("fast_mode", "filter_paragraphs", "perform_deduplication", "split_sentences", "reevaluate", "reevaluate_only", "compress_output", "insert_fast_mode_gazetteers", "verbose"):
         p.add_argument(f"--{name}", action="store_true")
     p.add_argument("--filter_input", help="wildcard for file names")
     p.add_argument("--thresholds", type=json.loads, default={}, help='JSON with valid_score, ownership_score and usage_score')
     p.add_argument("--lexicon", help="Parquet with rank, phrase and kind; the keyword lists if left out")
+    p.add_argument("--dataset_gazetteers", choices=("synthetic", "hybrid"), help="adds a gazetteer of that name")
+    p.add_argument("--gazetteer_dir", help="folder with synthetic and hybrid, each Parquet with phrase and types")
     return p
 
 
@@ -37,17 +41,39 @@ def sentences(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return segment.sentences_of_sections(readers.pdf_documents(spark, a.input_dir, pattern=a.filter_input or "*.pdf"))
 
 
+def gazetteer(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """``phrase, types`` of the external gazetteer; empty without one."""
+    if not a.dataset_gazetteers:
+        return spark.createDataFrame([], "phrase string, types array<string>")
+    if not a.gazetteer_dir:
+        raise ValueError("--dataset_gazetteers needs --gazetteer_dir")
+    return spark.read.parquet(f"{a.gazetteer_dir}/{a.dataset_gazetteers}").select("phrase", "types")
+
+
+def lexicon_of(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    rows = spark.read.parquet(a.lexicon) if a.lexicon else lexicon.keyword_rows(spark)
+    if a.dataset_gazetteers:
+        rows = rows.unionByName(lexicon.gazetteer_rows(gazetteer(spark, a), offset=1_000_000))
+    return rows
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("quillspark").getOrCreate()
+    if a.verbose:
+        spark.sparkContext.setLogLevel("INFO")
     if a.reevaluate_only:
         mentions = spark.read.parquet(f"{a.input_dir}/mentions")
     else:
-        rows = spark.read.parquet(a.lexicon) if a.lexicon else lexicon.keyword_rows(spark)
+        rows, own = lexicon_of(spark, a), None
         if a.fast_mode:
             writers.write_results(extract_fast(sentences(spark, a), rows), f"{a.output_dir}/fast", a.compress_output)
             return 0
-        found = extract(sentences(spark, a), rows, filter_paragraphs=a.filter_paragraphs, deduplicate=a.perform_deduplication)
+        given = sentences(spark, a)
+        if a.insert_fast_mode_gazetteers:
+            words = (spark.createDataFrame([(x,) for x in found], "phrase string") for found in (DATA_PHRASES, SOFTWARE_PHRASES))
+            own = with_own_entries(given, rows, RuleScorer(), gazetteer(spark, a), *words)
+        found = extract(given, rows, filter_paragraphs=a.filter_paragraphs, deduplicate=a.perform_deduplication, own_rows=own)
         found["mentions"].write.mode("overwrite").parquet(f"{a.output_dir}/mentions")
         mentions = spark.read.parquet(f"{a.output_dir}/mentions")
         writers.write_results(found["clusters"].select("doc_id", "mention_id", "type", "label", "cluster", "annotated", "artifact_yes"), f"{a.output_dir}/clusters", a.compress_output)

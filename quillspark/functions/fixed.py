@@ -76,3 +76,15 @@ QUESTIONS = {
 # Gazetteer keys that are noise.
 NOISE_KEYS = ("0", ".", "2048")
 MISSING = "N/A"
+
+#: Patterns of citation marks (fixed values).
+CITATION_PATTERNS = {
+    "m0": r"[\[(][^\]\[)(]*?et al.*?(?:\]|\)|$)",
+    "m1": r"\[\s*\d+\s*(?!\s*(?:\w|[^\w,\-\]])|\s*,\d+(?:[^\w,\-\]]))\s*?(?:\]|$)",
+    "m1b": r"\[\s*[A-Z](?:\w+\s+(?:\&\s+)?){1,}\d+\s*(?:\]|$)",
+    "m2": r"\(\s*\d+\s*(?!\s*(?:\w|[^\w,\-\)])|\s*,\d+(?:[^\w,\-\)]))\s*?(?:\)|$)",
+    "m2b": r"\(\s*[A-Z](?:\w+\s+(?:\&\s+)?){1,}\d+\s*(?:\)|$)",
+}
+
+#: Beginnings of what looks like a URL and is none (fixed values).
+URL_NOISE = ("i.e", "et.al", "e.g", "al.")

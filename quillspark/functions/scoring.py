@@ -6,6 +6,7 @@ builds once in each Python worker; prompts go through Arrow batches.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -75,8 +76,9 @@ class ModelScorer:
     expensive = True
 
     def __init__(self, load: Callable[[], Model], batch: int = 8):
-        self._classify = _udf(load, "classify", "double", batch)
-        self._generate = _udf(load, "generate", "string", batch)
+        token = uuid.uuid4().hex
+        self._classify = _udf(load, "classify", "double", batch, token)
+        self._generate = _udf(load, "generate", "string", batch, token)
 
     def yes(self, name: str) -> Column:
         return self._classify(make_prompt("annotated", question(name, "type")))
@@ -86,10 +88,19 @@ class ModelScorer:
         return F.nullif(self._generate(make_prompt(context, question(name, "type"))), F.lit("N/A"))
 
 
-def _udf(load, method: str, kind: str, batch: int):
+#: The model that a worker holds, by the token of its scorer.
+_HELD: dict[str, Model] = {}
+
+
+def _udf(load, method: str, kind: str, batch: int, token: str):
     @F.pandas_udf(kind)
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load()  # once for each task
+        from quillspark.functions import scoring
+
+        if token not in scoring._HELD:  # once for each worker, which holds one model at a time
+            scoring._HELD.clear()
+            scoring._HELD[token] = load()
+        model = scoring._HELD[token]
         for prompts in series:
             unique = list(dict.fromkeys(prompts))
             answers = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspark.functions.fixed import CITATION_STOPWORDS, CODE_HOSTS, MISSING, QUESTIONS
+from quillspark.functions.fixed import CITATION_PATTERNS, CITATION_STOPWORDS, CODE_HOSTS, MISSING, QUESTIONS, URL_NOISE
 
 Col = Column | str
 
@@ -16,14 +16,6 @@ HOLD, CUT = "␟", "␞"
 #: A URL with a scheme, or a host name with a known ending.
 URL_PATTERN = r"(?:https?://[^\s<>\"']+|(?:[A-Za-z0-9-]+\.)+(?:com|org|net|edu|gov|io|eu|uk|de|fr|es|it|ai|info)(?:/[^\s<>\"']*)?)"
 
-CITATION_PATTERNS = {
-    "m0": r"[\[(][^\]\[)(]*?et al.*?(?:\]|\)|$)",
-    "m1": r"\[\s*\d+\s*(?!\s*(?:\w|[^\w,\-\]])|\s*,\d+(?:[^\w,\-\]]))\s*?(?:\]|$)",
-    "m1b": r"\[\s*[A-Z](?:\w+\s+(?:\&\s+)?){1,}\d+\s*(?:\]|$)",
-    "m2": r"\(\s*\d+\s*(?!\s*(?:\w|[^\w,\-\)])|\s*,\d+(?:[^\w,\-\)]))\s*?(?:\)|$)",
-    "m2b": r"\(\s*[A-Z](?:\w+\s+(?:\&\s+)?){1,}\d+\s*(?:\)|$)",
-}
-
 
 def _c(x: Col) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -75,9 +67,8 @@ def find_urls(text: Col, code_hosts_only: bool = False, filter_noise: bool = Tru
     found = F.transform(found, lambda u: F.regexp_replace(u, r"[.(){}\[\]<>,:!@$%^&*;]$", ""))
     if code_hosts_only:
         return F.filter(found, is_code_url)
-    noise = ("i.e", "et.al", "e.g", "al.")
     if filter_noise:
-        return F.filter(found, lambda u: is_url(u) & ~_any(u.startswith(x) for x in noise) & ~u.endswith(".et"))
+        return F.filter(found, lambda u: is_url(u) & ~_any(u.startswith(x) for x in URL_NOISE) & ~u.endswith(".et"))
     return found
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,14 +41,24 @@ def mean_pair_scores(pairs: DataFrame) -> DataFrame:
 
 
 def average_linkage(n: int, scores: dict[tuple[int, int], float], cut: float = 0.5) -> list[int]:
-    """Labels 0.. in order of first members: clusters merge while their mean distance (1 - score) is below the cut."""
-    clusters = [[i] for i in range(n)]
-    distance = {(i, j): 1 - scores.get((i, j), scores.get((j, i), 0.0)) for i in range(n) for j in range(i + 1, n)}
+    """Labels 0.. in order of first members: clusters merge while their mean distance (1 - score) is below the cut.
+
+    Sums of distances between clusters are kept and added when two merge; no mean is computed anew from the members.
+    """
+    total = np.ones((n, n))
+    for (i, j), score in scores.items():
+        total[i, j] = total[j, i] = 1 - score
+    clusters, sizes = [[i] for i in range(n)], np.ones(n)
     while len(clusters) > 1:
-        best, d = min((((a, b), _mean(clusters[a], clusters[b], distance)) for a in range(len(clusters)) for b in range(a + 1, len(clusters))), key=lambda x: (x[1], x[0]))
-        if d >= cut:
+        mean = np.where(np.triu(np.ones_like(total), 1) > 0, total / np.outer(sizes, sizes), np.inf)
+        a, b = divmod(int(mean.argmin()), len(clusters))
+        if mean[a, b] >= cut:
             break
-        clusters[best[0]] += clusters.pop(best[1])
+        clusters[a] += clusters.pop(b)
+        total[a] += total[b]
+        total[:, a] += total[:, b]
+        sizes[a] += sizes[b]
+        total, sizes = np.delete(np.delete(total, b, 0), b, 1), np.delete(sizes, b)
     labels = [0] * n
     for label, members in enumerate(sorted(map(sorted, clusters))):
         for i in members:
@@ -55,10 +66,6 @@ def average_linkage(n: int, scores: dict[tuple[int, int], float], cut: float = 0
     return labels
 
 
-def _mean(a: list[int], b: list[int], distance: dict) -> float:
-    return sum(distance[min(i, j), max(i, j)] for i in a for j in b) / (len(a) * len(b))
-
-
 def group_names(names: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     """Adds ``grp``: the group of a name. Without coreference scores every name is its own."""
     if scores is None:

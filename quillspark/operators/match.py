@@ -1,10 +1,10 @@
-"""Matching a lexicon in sentences: an n-gram equi-join in place of a loop over sentences and phrases.
+"""Matching a lexicon in sentences: an equi-join by one word of each phrase in place of a loop over both.
 
-A phrase that begins and ends with a word character can only match from token edge to token edge, so each n-gram of
-a sentence, up to the lexicon's largest number of tokens, is a join key. Other phrases are looked up by their first
-word, which must be a whole token too. Only (sentence, phrase) pairs that pass get the exact regular expression, which
-gives spans as a left-to-right scan without overlaps does. The lexicon is measured first: up to ``BROADCAST_BYTES`` it
-is broadcast, and sentences don't move; beyond that both sides shuffle by key.
+A phrase matches from word boundary to word boundary, so each of its words is a whole word of the sentence, and a phrase
+of signs only is all that stands between two words. Phrases are looked up by one word each: the one that fewest phrases
+share, then the longest. Only (sentence, phrase) pairs that pass, and whose sentence contains the phrase, get the exact
+regular expression, which gives spans as a left-to-right scan without overlaps does. The lexicon is measured first: up
+to ``BROADCAST_BYTES`` it is broadcast, and sentences don't move; beyond that both sides shuffle by key.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from quillspark.functions.fixed import KINDS, TYPE_OF_KIND
 from quillspark.functions.text import annotate, quoted, starts_of
 from quillspark.operators.segment import SENTENCE_KEYS
 
-PIECE = r"(?U)(\w+|\W+)"
+WORDS, PIECES = r"(?U)(\w+)", r"(?U)(\w+|\W+)"
 #: Largest text of a lexicon, in bytes, that is sent to every executor.
 BROADCAST_BYTES = 32 << 20
 
@@ -26,28 +26,15 @@ def contains(text: Column, phrase: Column) -> Column:
     return F.lower(text).contains(F.lower(phrase))
 
 
-def _keys(pieces: Column, most: int) -> Column:
-    """Distinct n-grams of 1 to ``most`` tokens, with what stands between the tokens; tokens and gaps alternate."""
-    count = F.size(pieces)
-    first = F.when(F.get(pieces, F.lit(0)).rlike(r"(?U)^\w"), 1).otherwise(2)
-    places = F.sequence(first, count, F.lit(2))
-
-    def grams_of(n: int) -> Column:
-        return F.transform(places, lambda i: F.when(i + n - 1 <= count, F.array_join(F.slice(pieces, i, F.lit(n)), "")))
-
-    words = F.transform(places, lambda i: F.element_at(pieces, i))
-    grams = [grams_of(n) for n in range(3, 2 * most, 2)]
-    return F.when(first <= count, F.array_compact(F.array_distinct(F.concat(words, *grams))))
-
-
 def prepare(lexicon: DataFrame) -> DataFrame:
-    """Adds ``low, size, key, tokens`` to lexicon rows; the key is null for phrases without a word character."""
+    """Adds ``low, size, key`` to lexicon rows; the key of a phrase without a word is the phrase."""
     low = F.lower("phrase")
-    word = F.regexp_extract(low, r"(?U)\w+", 0)
-    bounded = low.rlike(r"(?U)^\w") & low.rlike(r"(?U)\w$")
-    key = F.when(bounded, low).when(word != "", word)
-    tokens = F.when(bounded, F.size(F.regexp_extract_all(low, F.lit(r"(?U)(\w+)"), F.lit(1)))).otherwise(1)
-    return lexicon.where("phrase IS NOT NULL AND phrase != ''").withColumns({"low": low, "size": F.length(low), "key": key, "tokens": tokens})
+    rows = lexicon.where("phrase IS NOT NULL AND phrase != ''").withColumns({"low": low, "size": F.length(low)})
+    words = rows.select("low").distinct().select("low", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(WORDS), F.lit(1)))).alias("word"))
+    shared = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.struct("n", -F.length("word"), "word")
+    keys = words.join(shared, "word").groupBy("low").agg(F.min_by("word", rank).alias("key"))
+    return rows.join(keys, "low", "left").withColumn("key", F.coalesce("key", "low"))
 
 
 def match_lexicon(sentences: DataFrame, lexicon: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -56,21 +43,13 @@ def match_lexicon(sentences: DataFrame, lexicon: DataFrame, keys: list[str] | No
     Spans are half-open code points of the lower-cased sentence. Case variants of a phrase give rows of their own. A
     lexicon with ``doc_id`` applies to that document only. Null sentences match nothing.
     """
-    keys = keys or SENTENCE_KEYS
-    ready = prepare(lexicon)
-    most, held, signs_only = ready.agg(F.max("tokens"), F.sum(F.octet_length("phrase") + F.octet_length("low") + 64), F.count_if(F.col("key").isNull())).head()
-    most = most or 1
-    per_document = "doc_id" in lexicon.columns
-    on = ["key", "doc_id"] if per_document else ["key"]
-    # the pieces are a column of their own, so that array functions don't split the text again for each element
-    pieces = sentences.where("text IS NOT NULL").withColumn("pieces_", F.regexp_extract_all(F.lower("text"), F.lit(PIECE), F.lit(1)))
-    exploded = pieces.withColumn("key", F.explode(_keys(F.col("pieces_"), most))).drop("pieces_")
-    rows = ready.select(*on, "rank", "phrase", "kind", "low", "size")
-    keyed = rows.where("key IS NOT NULL")
-    found = exploded.join(F.broadcast(keyed) if (held or 0) <= BROADCAST_BYTES else keyed, on).drop("key")
-    if signs_only:  # phrases of signs only: no token to join by
-        signs = rows.where("key IS NULL").drop("key")
-        found = found.unionByName(sentences.join(signs, "doc_id") if per_document else sentences.crossJoin(signs))
+    on = ["key", "doc_id"] if "doc_id" in lexicon.columns else ["key"]
+    rows = prepare(lexicon).select(*on, "rank", "phrase", "kind", "low", "size")
+    held, signs_only = rows.agg(F.sum(F.octet_length("phrase") + F.octet_length("low") + F.octet_length("key") + 64), F.max((F.col("key") == F.col("low")) & ~F.col("low").rlike(r"(?U)\w"))).head()
+    pieces = F.regexp_extract_all(F.lower("text"), F.lit(PIECES if signs_only else WORDS), F.lit(1))
+    exploded = sentences.where("text IS NOT NULL").withColumn("key", F.explode(F.array_distinct(pieces)))
+    found = exploded.join(F.broadcast(rows) if (held or 0) <= BROADCAST_BYTES else rows, on).drop("key")
+    found = found.where(F.lower("text").contains(F.col("low")))
     pattern = F.concat(F.lit(r"(?U)\b"), quoted("low"), F.lit(r"\b"))
     spans = found.withColumn("start", F.explode(starts_of(F.lower("text"), pattern, "size")))
     return spans.withColumn("end", F.col("start") + F.col("size")).drop("low", "size")

@@ -15,10 +15,21 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n", -1)).alias("par", "text"))
 
 
-def sentences_of_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, sec, title, par, sent, text``: one untitled section whose paragraphs are the lines."""
+def sentences_of_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
+    """``doc_id, sec, title, par, sent, text``: one untitled section whose paragraphs are the lines.
+
+    With ``offsets`` also ``snippet_start, snippet_end`` as ``with_offsets`` has them, without its shuffle.
+    """
     lines = paragraphs(docs, id_col, text_col)
-    return lines.select("doc_id", F.lit(0).alias("sec"), F.lit(None).cast("string").alias("title"), "par", F.posexplode(split_sentences("text")).alias("sent", "text"))
+    keys = ["doc_id", F.lit(0).alias("sec"), F.lit(None).cast("string").alias("title"), "par"]
+    if not offsets:
+        return lines.select(*keys, F.posexplode(split_sentences("text")).alias("sent", "text"))
+    split = lines.select(*keys, split_sentences("text").alias("parts_"))
+    none = F.array().cast("array<int>")
+    starts = F.aggregate("parts_", F.struct(none.alias("all"), F.lit(0).alias("at")), lambda s, x: F.struct(F.concat(s["all"], F.array(s["at"])).alias("all"), (s["at"] + F.length(x) + 1).alias("at")), lambda s: s["all"])
+    zipped = split.select("doc_id", "sec", "title", "par", F.posexplode(F.arrays_zip("parts_", starts.alias("starts_"))).alias("sent", "x_"))
+    zipped = zipped.select("doc_id", "sec", "title", "par", "sent", F.col("x_.parts_").alias("text"), F.col("x_.starts_").alias("snippet_start"))
+    return zipped.withColumn("snippet_end", F.col("snippet_start") + F.length("text"))
 
 
 def sentences_of_lists(docs: DataFrame, id_col: str = "doc_id", list_col: str = "text_list", split: bool = False) -> DataFrame:

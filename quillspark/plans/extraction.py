@@ -12,7 +12,7 @@ from quillspark.plans.storage import Workspace
 
 
 def with_text_parts(sentences: DataFrame) -> DataFrame:
-    """Adds citations and URLs, once for each sentence rather than for each candidate in it."""
+    """Adds citations and URLs; of sentences with candidates only, since their patterns are many."""
     return sentences.withColumns({"citations": find_citations("text"), "urls": find_urls("text")})
 
 
@@ -30,11 +30,11 @@ def with_own_entries(sentences: DataFrame, lexicon_rows: DataFrame, scorer: Scor
 
 def candidates(sentences: DataFrame, lexicon_rows: DataFrame, own_rows: DataFrame | None = None) -> DataFrame:
     """Numbered and annotated candidates of (doc_id, sec, title, par, sent, text)."""
-    ready = with_text_parts(segment.with_offsets(sentences))
+    ready = sentences if "snippet_start" in sentences.columns else segment.with_offsets(sentences)
     found = match.match_lexicon(ready, lexicon_rows)
     if own_rows is not None:
         found = found.unionByName(match.match_lexicon(ready, own_rows))
-    return match.annotated(match.number_candidates(found))
+    return match.annotated(match.number_candidates(with_text_parts(found)))
 
 
 def extract(sentences: DataFrame, lexicon_rows: DataFrame, scorer: Scorer | None = None, filter_paragraphs: bool = False, deduplicate: bool = True, own_rows: DataFrame | None = None, thresholds: dict | None = None) -> dict[str, DataFrame]:

@@ -23,6 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_FALLBACK
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A table that one scan task would read, over all cores; a larger one as it is, since its scan has tasks enough."""
+    spark = df.sparkSession
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > most:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism)
+
+
 class Workspace:
     """Written tables that cut lineage and survive the loss of executors."""
 

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from quillspark.operators.report import simple_lines
 
 
-def write_results(mentions: DataFrame, path: str, compress: bool = False) -> None:
-    """JSON lines, a folder for each document, gzipped or not."""
-    writer = mentions.repartition("doc_id").write.mode("overwrite").partitionBy("doc_id")
+def write_results(mentions: DataFrame, path: str, compress: bool = False, folders: bool = False) -> None:
+    """JSON lines, gzipped or not; a document's rows are in one file. With ``folders`` each document has its own: for
+    few documents, since a corpus would end in as many folders."""
+    dealt = mentions.repartition("doc_id")
+    writer = (dealt.write.partitionBy("doc_id") if folders else dealt.write).mode("overwrite")
     writer.json(path, compression="gzip" if compress else "none")
 
 

@@ -54,3 +54,13 @@ def test_command_line(spark, tmp_path):
     assert (tmp_path / "out/reevaluated/artifacts").exists()
     assert cli.main(["--input_dir", str(tmp_path / "in"), "--output_dir", str(tmp_path / "fast"), "--text_mode", "--fast_mode", "--compress_output"]) == 0
     assert spark.read.json(str(tmp_path / "fast/fast")).count() == 1
+
+
+def test_gazetteer_flags(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "doc.txt").write_text("We used BIOBREAD here.\nThe MIT License of Breadcrumb, version 1.0, covers the data.")
+    spark.createDataFrame([("biobread", ["Dataset"]), ("biobread", ["Method"])], "phrase string, types array<string>").write.parquet(str(tmp_path / "gaz/hybrid"))
+    base = ["--input_dir", str(tmp_path / "in"), "--text_mode", "--output_dir"]
+    assert cli.main([*base, str(tmp_path / "out"), "--dataset_gazetteers", "hybrid", "--gazetteer_dir", str(tmp_path / "gaz"), "--insert_fast_mode_gazetteers"]) == 0
+    found = spark.read.parquet(str(tmp_path / "out/mentions")).collect()
+    assert {r.kind for r in found if r.phrase == "biobread"} == {"gaz_dataset", "gaz_method"}
