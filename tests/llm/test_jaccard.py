@@ -101,3 +101,17 @@ def test_partial_overlaps_sum_over_fragments():
     sets = [shingles(t) for t in ("a b c d e f", "a b c d e g", "z y x w", "a b c d e f")]
     narrow, wide = linked(sets, sets, 60, columns=1), linked(sets, sets, 60)
     assert (narrow == wide).all() and narrow[0, 1] and narrow[0, 3] and not narrow[0, 2]
+
+
+@pytest.mark.parametrize("bits", [1 << 27, 1 << 10, 1])
+def test_the_bitmap_of_members_loses_no_text(spark, monkeypatch, bits):
+    monkeypatch.setattr(ngram_jaccard, "ID_BITS", bits)
+    ids = [*range(-400, 400), 2**63 - 1, -(2**63)]
+    docs = spark.createDataFrame([*((i, str(i)) for i in ids), (5, None), (None, "a")], "doc_id long, text string")
+    members = {i for i in ids if i % 17 == 0} | {-(2**63)}
+    found = ngram_jaccard._marked(docs, spark.createDataFrame([(i,) for i in sorted(members)], "doc_id long")).collect()
+    assert {r.doc_id for r in found} >= members and len(found) <= len(ids) + 2
+    if bits == 1 << 27:
+        assert len(found) < 2 * len(members)
+    empty = spark.createDataFrame([], "doc_id long")
+    assert ngram_jaccard._marked(docs, empty).count() == 0
