@@ -11,6 +11,7 @@ from quillspark.functions.fixed import DATA_PHRASES, SOFTWARE_PHRASES
 from quillspark.functions.scoring import RuleScorer
 from quillspark.operators import lexicon, report, segment
 from quillspark.plans.extraction import extract, extract_fast, reevaluate, with_own_entries
+from quillspark.plans.storage import exists
 from quillspark.sources import readers, writers
 
 
@@ -31,14 +32,24 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def sentences(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+def parsed(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
+    """Documents of TEI or PDF files, parsed once and written beside the results; None for the other modes."""
+    if a.parquet_mode or a.text_mode:
+        return None
+    if a.xml_mode:
+        docs = readers.tei_documents(spark, a.input_dir, a.filter_input or "*.xml")
+    else:
+        docs = readers.pdf_documents(spark, a.input_dir, pattern=a.filter_input or "*.pdf")
+    docs.write.mode("overwrite").parquet(f"{a.output_dir}/documents")
+    return spark.read.parquet(f"{a.output_dir}/documents")
+
+
+def sentences(spark: SparkSession, a: argparse.Namespace, docs: DataFrame | None) -> DataFrame:
+    if docs is not None:
+        return segment.sentences_of_sections(docs)
     if a.parquet_mode:
         return segment.sentences_of_sections(readers.parquet_documents(spark, a.input_dir))
-    if a.xml_mode:
-        return segment.sentences_of_sections(readers.tei_documents(spark, a.input_dir, a.filter_input or "*.xml"))
-    if a.text_mode:
-        return segment.sentences_of_lists(readers.text_files(spark, a.input_dir, a.filter_input or "*.txt", a.split_sentences), split=a.split_sentences)
-    return segment.sentences_of_sections(readers.pdf_documents(spark, a.input_dir, pattern=a.filter_input or "*.pdf"))
+    return segment.sentences_of_lists(readers.text_files(spark, a.input_dir, a.filter_input or "*.txt", a.split_sentences), split=a.split_sentences)
 
 
 def gazetteer(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -63,13 +74,14 @@ def main(argv: list[str] | None = None) -> int:
     if a.verbose:
         spark.sparkContext.setLogLevel("INFO")
     if a.reevaluate_only:
-        mentions = spark.read.parquet(f"{a.input_dir}/mentions")
+        mentions, kept = spark.read.parquet(f"{a.input_dir}/mentions"), f"{a.input_dir}/documents"
+        docs = spark.read.parquet(kept) if exists(spark, kept) else None
     else:
-        rows, own = lexicon_of(spark, a), None
+        rows, own, docs = lexicon_of(spark, a), None, parsed(spark, a)
         if a.fast_mode:
-            writers.write_results(extract_fast(sentences(spark, a), rows), f"{a.output_dir}/fast", a.compress_output)
+            writers.write_results(extract_fast(sentences(spark, a, docs), rows), f"{a.output_dir}/fast", a.compress_output)
             return 0
-        given = sentences(spark, a)
+        given = sentences(spark, a, docs)
         if a.insert_fast_mode_gazetteers:
             words = (spark.createDataFrame([(x,) for x in found], "phrase string") for found in (DATA_PHRASES, SOFTWARE_PHRASES))
             own = with_own_entries(given, rows, RuleScorer(), gazetteer(spark, a), *words)
@@ -80,8 +92,10 @@ def main(argv: list[str] | None = None) -> int:
         report.artifacts(found["clusters"], not a.text_mode).write.mode("overwrite").parquet(f"{a.output_dir}/artifacts")
     if a.reevaluate or a.reevaluate_only:
         t = a.thresholds
-        out = reevaluate(mentions, t.get("valid_score", 0.8), t.get("ownership_score", 0.8), t.get("usage_score", 0.8))
-        for name in ("artifacts", "mentions"):
+        out = reevaluate(mentions, t.get("valid_score", 0.8), t.get("ownership_score", 0.8), t.get("usage_score", 0.8), not a.text_mode, docs)
+        if "report" in out:
+            writers.write_results(out["report"], f"{a.output_dir}/reevaluated/report", a.compress_output)
+        for name in out.keys() - {"clusters", "report"}:
             out[name].write.mode("overwrite").parquet(f"{a.output_dir}/reevaluated/{name}")
     return 0
 

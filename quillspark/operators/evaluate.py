@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.fixed import MISSING
 
 
+#: Fields that count where both sides are valid.
+FIELDS = ("name", "version", "license", "url", "ownership", "usage")
+
+
+def _positive(field: str) -> Callable[[Column], Column]:
+    """Whether a field's value is a positive one: an answer, or Yes for the yes-or-no questions."""
+    return (lambda x: x == "Yes") if field in ("valid", "ownership", "usage") else (lambda x: x != MISSING)
+
+
 def exact(pred: Column, gold: Column) -> Column:
     return F.lower(pred) == F.lower(gold)
 
@@ -48,15 +59,36 @@ def evaluate(rows: DataFrame) -> DataFrame:
     license, url, ownership and usage; fields but valid count where both sides are valid, with an answer as positive."""
     both = rows.where("pred_valid = 'Yes' AND gold_valid = 'Yes'")
     out = binary_scores(rows, F.col("pred_valid") == "Yes", F.col("gold_valid") == "Yes").select(F.lit("valid").alias("field"), "*", F.lit(None).cast("double").alias("exact"), F.lit(None).cast("double").alias("lenient"))
-    for field in ("name", "version", "license", "url", "ownership", "usage"):
+    for field in FIELDS:
         p, g = F.col(f"pred_{field}"), F.col(f"gold_{field}")
-        positive = (lambda x: x != MISSING) if field not in ("ownership", "usage") else (lambda x: x == "Yes")
+        positive = _positive(field)
         scores = binary_scores(both, positive(p), positive(g))
         rates = match_rates(both.where(positive(p) & positive(g)), f"pred_{field}", f"gold_{field}").drop("n")
         out = out.unionByName(scores.crossJoin(rates).select(F.lit(field).alias("field"), "*"))  # one row each
     return out
 
 
+def errors(rows: DataFrame, item: str = "item") -> DataFrame:
+    """``item, field, kind, gold, pred``: every answer that counts against a score of ``evaluate``, in one scan.
+
+    Kind ``binary`` is a wrong decision (validity, whether a field has an answer, ownership, usage); ``exact`` and
+    ``lenient`` are answers on both sides that do not match so. A comparison with a null is no error.
+    """
+    both = (F.col("pred_valid") == "Yes") & (F.col("gold_valid") == "Yes")
+    found = []
+    for field in ("valid", *FIELDS):
+        p, g = F.col(f"pred_{field}"), F.col(f"gold_{field}")
+        decision = field in ("valid", "ownership", "usage")
+        positive = _positive(field)
+        kinds = [("binary", positive(p) != positive(g))]
+        if not decision:
+            kinds += [(kind, positive(p) & positive(g) & ~match(p, g)) for kind, match in (("exact", exact), ("lenient", lenient))]
+        for kind, wrong in kinds:
+            counts = wrong if field == "valid" else wrong & both
+            found.append(F.when(counts, F.struct(F.lit(field).alias("field"), F.lit(kind).alias("kind"), g.alias("gold"), p.alias("pred"))))
+    return rows.select(F.col(item).alias("item"), F.explode(F.array_compact(F.array(*found))).alias("e")).select("item", "e.*")
+
+
 def metrics_json(scores: DataFrame) -> DataFrame:
     """All scores as one JSON text."""
     return scores.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", F.struct("tp", "fp", "fn", "precision", "recall", "f1", "exact", "lenient")))))).alias("metrics"))

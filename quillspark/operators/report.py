@@ -87,10 +87,15 @@ def citance_key(target: Column) -> Column:
 
 
 def citances(rows: DataFrame) -> DataFrame:
-    """One row for each reference in a sentence; intent, polarity and semantics are Skipped where not given."""
+    """One row for each reference in a sentence; intent, polarity and semantics are Skipped where not given, and so are
+    their scores, which are taken from the map of probabilities."""
     ref = rows.select("doc_id", "sec_idx", "par_idx", "s_idx", "sentence", F.explode("refs").alias("r"))
     fields = ref.schema["r"].dataType.fieldNames()
     extra = [(F.coalesce(F.col(f"r.{x}"), F.lit("")) if x in fields else F.lit("Skipped")).alias(x) for x in ("intent", "polarity", "semantics")]
+    for x in ("intent", "polarity", "semantics"):
+        given = x in fields and f"{x}_probs" in fields
+        score = F.coalesce(F.try_element_at(f"r.{x}_probs", f"r.{x}").cast("string"), F.lit("")) if given else F.lit("Skipped")
+        extra.append(score.alias(f"{x}_score"))
     target = F.coalesce(F.col("r.target"), F.lit(""))
     return ref.select("doc_id", target.alias("target"), F.coalesce(F.col("r.type"), F.lit("")).alias("type"), "sec_idx", "par_idx", "s_idx", F.coalesce(F.col("r.text"), F.lit("")).alias("text"), *extra, F.coalesce("sentence", F.lit("")).alias("sentence"), citance_key(target).alias("key"))
 
@@ -114,6 +119,13 @@ def publication(documents: DataFrame) -> DataFrame:
     )
 
 
+def document_tables(documents: DataFrame) -> dict[str, DataFrame]:
+    """``publication_info, citations, citances`` of parsed documents."""
+    references = documents.select("doc_id", F.posexplode("bibl_references").alias("ref_ord", "r")).select("doc_id", "ref_ord", "r.*")
+    sentences = documents.select("doc_id", F.inline("citances"))
+    return {"publication_info": publication(documents), "citations": citations(references), "citances": citances(sentences)}
+
+
 def fast_rows(paragraph_rows: DataFrame, candidates: DataFrame, answers: DataFrame | None = None) -> DataFrame:
     """``doc_id, sec, par, paragraph, candidates, results``: the distinct candidates of each paragraph in order."""
     line = F.concat(F.lit("["), "type", F.lit("] : "), "phrase")

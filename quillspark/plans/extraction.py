@@ -9,6 +9,7 @@ from quillspark.functions.scoring import RuleScorer, Scorer
 from quillspark.functions.text import find_citations, find_urls
 from quillspark.operators import cascade, dedup, lexicon, match, report, segment
 from quillspark.plans.storage import Workspace
+from quillspark.sources.writers import report_json
 
 
 def with_text_parts(sentences: DataFrame) -> DataFrame:
@@ -57,8 +58,20 @@ def extract_fast(sentences: DataFrame, lexicon_rows: DataFrame, answers: DataFra
     return report.fast_rows(segment.paragraph_texts(sentences), found, answers)
 
 
-def reevaluate(mentions: DataFrame, artifact: float = 0.8, ownership: float = 0.8, reuse: float = 0.8) -> dict[str, DataFrame]:
-    """Reports of earlier mentions under new thresholds: mentions below go, the rest clusters again."""
+def reevaluate(mentions: DataFrame, artifact: float = 0.8, ownership: float = 0.8, reuse: float = 0.8, by_section: bool = True, documents: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Reports of earlier mentions under new thresholds: mentions below go, the rest clusters again.
+
+    With the parsed documents also their tables (``report.document_tables``) and ``report``: all five as one JSON text
+    for each document.
+    """
     kept = cascade.apply_thresholds(mentions.where("valid AND NOT skipped"), artifact, ownership, reuse)
     clusters = dedup.deduplicate(kept)
-    return {"clusters": clusters, "artifacts": report.artifacts(clusters), "mentions": report.mention_rows(clusters)}
+    out = {"clusters": clusters, "artifacts": report.artifacts(clusters, by_section), "mentions": report.mention_rows(clusters)}
+    if documents is not None:
+        out |= report.document_tables(documents)
+        # both tables are read twice, by their own sinks and by the report
+        work = Workspace(mentions.sparkSession, "reports")
+        out |= {name: work.save(out[name]) for name in ("artifacts", "mentions")}
+        by_target = out["citances"].select("doc_id", "key", *(c for c in out["citances"].columns if c not in ("doc_id", "key")))
+        out["report"] = report_json(out["publication_info"], out["artifacts"], out["mentions"], out["citations"], by_target)
+    return out

@@ -23,6 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_FALLBACK
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """A table that one scan task would read, over all cores; a larger one as it is, since its scan has tasks enough."""
     spark = df.sparkSession

@@ -1,3 +1,4 @@
+import json
 import subprocess
 import sys
 import time
@@ -64,3 +65,20 @@ def test_gazetteer_flags(spark, tmp_path):
     assert cli.main([*base, str(tmp_path / "out"), "--dataset_gazetteers", "hybrid", "--gazetteer_dir", str(tmp_path / "gaz"), "--insert_fast_mode_gazetteers"]) == 0
     found = spark.read.parquet(str(tmp_path / "out/mentions")).collect()
     assert {r.kind for r in found if r.phrase == "biobread"} == {"gaz_dataset", "gaz_method"}
+
+
+def test_reports_of_parsed_documents(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    body = "<div><head>Data</head><p><s>We release the NLP data set under the MIT License, version 2.0.</s><s>It extends <ref type='bibr' target='#b1'>[1]</ref>.</s></p></div>"
+    back = "<biblStruct xml:id='b0'><analytic><title>Self</title></analytic></biblStruct><biblStruct xml:id='b1'><analytic><title>Other</title></analytic></biblStruct>"
+    (tmp_path / "in" / "one.xml").write_text(f"<TEI><titleStmt><title>One</title></titleStmt><text><body>{body}</body><back>{back}</back></text></TEI>")
+    (tmp_path / "in" / "two.xml").write_text("<TEI><text><body/></text></TEI>")
+    out, again = str(tmp_path / "out"), str(tmp_path / "again")
+    assert cli.main(["--input_dir", str(tmp_path / "in"), "--output_dir", out, "--xml_mode", "--perform_deduplication"]) == 0
+    assert cli.main(["--input_dir", out, "--output_dir", again, "--xml_mode", "--reevaluate_only", "--thresholds", '{"valid_score": 0.1}']) == 0
+    reports = {r.doc_id: json.loads(r.report) for r in spark.read.json(f"{again}/reevaluated/report").collect()}
+    assert reports.keys() == {"one", "two"} and reports["one"]["publication_info"]["title"] == "One"
+    assert [c["title"] for c in reports["one"]["citations"]] == ["Other"] and [c["target"] for c in reports["one"]["citances"]] == ["#b1"]
+    assert {m["trigger"] for m in reports["one"]["mentions"]} >= {"data set"} and "mentions" not in reports["two"]
+    for name in ("artifacts", "mentions", "publication_info", "citations", "citances"):
+        assert spark.read.parquet(f"{again}/reevaluated/{name}").count() >= 1

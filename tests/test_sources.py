@@ -34,6 +34,13 @@ def test_tei(spark, tmp_path):
     assert {(r.target, r.ref_title) for r in linked} == {("#b1", "Other")}
 
 
+def test_citance_scores(spark):
+    ref = "struct<target:string,type:string,text:string,intent:string,intent_probs:map<string,double>>"
+    rows = [("d", 0, 0, 0, "s", [("#b1", "bibr", "[1]", "use", {"use": 0.75}), ("#b2", None, None, "use", {"other": 0.5}), (None, None, None, None, None)])]
+    got = report.citances(spark.createDataFrame(rows, f"doc_id string, sec_idx int, par_idx int, s_idx int, sentence string, refs array<{ref}>")).collect()
+    assert [(r.target, r.intent, r.intent_score, r.polarity, r.polarity_score) for r in got] == [("#b1", "use", "0.75", "Skipped", "Skipped"), ("#b2", "use", "", "Skipped", "Skipped"), ("", "", "", "Skipped", "Skipped")]
+
+
 def test_text_files_and_lists(spark, tmp_path):
     (tmp_path / "a.txt").write_text("One. Two.\nThree")
     (tmp_path / "b.md").write_text("x")
@@ -100,6 +107,9 @@ def test_evaluation(spark):
     assert (got["valid"].tp, got["valid"].fp, got["valid"].fn, got["valid"].f1) == (1, 1, 1, 0.5)
     assert (got["name"].exact, got["license"].exact, got["license"].lenient, got["version"].fn, got["ownership"].fp, got["url"].f1) == (1.0, 0.0, 1.0, 1, 1, 0.0)
     assert json.loads(evaluate.metrics_json(evaluate.evaluate(spark.createDataFrame(rows, ddl))).head().metrics)["valid"]["f1"] == 0.5
+    wrong = evaluate.errors(spark.createDataFrame([(str(i), *r) for i, r in enumerate(rows)], f"item string, {ddl}")).collect()
+    assert {(r.item, r.field, r.kind) for r in wrong} == {("0", "version", "binary"), ("0", "license", "exact"), ("0", "ownership", "binary"), ("1", "valid", "binary"), ("2", "valid", "binary")}
+    assert [(r.gold, r.pred) for r in wrong if r.kind == "exact"] == [("MIT License", "MIT")]
 
 
 def test_service(spark):
