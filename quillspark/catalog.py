@@ -416,7 +416,7 @@ def simple_lists(spark, d):
 
 def _graded(spark, d):
     docs = _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id")
-    return docs.select("doc_id", "lang", (F.length("text") < 600).alias("p"), (F.col("quality") == 0).alias("g"), F.substring("text", 1, 3).alias("a"), F.upper(F.substring("text", 2, 3)).alias("b"))
+    return docs.select("doc_id", "lang", (F.length("text") < 600).alias("p"), (F.col("quality") == 0).alias("g"), F.substring("text", 1, 3).alias("a"), T.simple_upper(F.substring("text", 2, 3)).alias("b"))
 
 
 @query
@@ -426,13 +426,13 @@ def eval_binary(spark, d):
 
 @query
 def eval_match(spark, d):
-    rows = _graded(spark, d).withColumn("b", F.when(F.col("doc_id") % 2 == 0, F.lower("a")).otherwise(F.col("b")))
-    return evaluate.match_rates(rows, "a", "b")
+    rows = _graded(spark, d).withColumn("b", F.when(F.col("doc_id") % 2 == 0, T.simple_lower("a")).otherwise(F.col("b")))
+    return evaluate.match_rates(rows, "a", "b", T.simple_lower)
 
 
 @query
 def eval_errors(spark, d):
-    return evaluate.match_errors(_graded(spark, d), "doc_id", "a", "b")
+    return evaluate.match_errors(_graded(spark, d), "doc_id", "a", "b", T.simple_lower)
 
 
 @query

@@ -26,6 +26,22 @@ def strip(x: Col) -> Column:
     return F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
 
 
+def simple_lower(x: Col) -> Column:
+    """Lower case by one character for each, wherever it stands: no final sigma, no combining dot."""
+    return F.lower(F.translate(_c(x), "İΣ", "iσ"))
+
+
+#: Letters whose capital form is several characters, but that have a single one too.
+_MANY = "ß" + "".join(chr(start + i) for start in (0x1F80, 0x1F90, 0x1FA0) for i in range(8)) + "ᾳῃῳ"
+_ONE = "ẞ" + "".join(chr(start + i) for start in (0x1F88, 0x1F98, 0x1FA8) for i in range(8)) + "ᾼῌῼ"
+
+
+def simple_upper(x: Col) -> Column:
+    """Upper case by one character for each; one whose capital form is several, and no single one, stays."""
+    one = lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(F.translate(c, _MANY, _ONE))
+    return F.array_join(F.transform(F.split(_c(x), ""), one), "")
+
+
 def split_sentences(paragraph: Col) -> Column:
     """Sentences end after . ! or ? before white space, but not after an abbreviation; blank ones go."""
     short = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)

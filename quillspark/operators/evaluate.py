@@ -19,24 +19,24 @@ def _positive(field: str) -> Callable[[Column], Column]:
     return (lambda x: x == "Yes") if field in ("valid", "ownership", "usage") else (lambda x: x != MISSING)
 
 
-def exact(pred: Column, gold: Column) -> Column:
-    return F.lower(pred) == F.lower(gold)
+def exact(pred: Column, gold: Column, lower: Callable[[Column], Column] = F.lower) -> Column:
+    return lower(pred) == lower(gold)
 
 
-def lenient(pred: Column, gold: Column) -> Column:
+def lenient(pred: Column, gold: Column, lower: Callable[[Column], Column] = F.lower) -> Column:
     """Either contains the other, whatever the case."""
-    return F.lower(pred).contains(F.lower(gold)) | F.lower(gold).contains(F.lower(pred))
+    return lower(pred).contains(lower(gold)) | lower(gold).contains(lower(pred))
 
 
-def match_rates(rows: DataFrame, pred: str, gold: str) -> DataFrame:
+def match_rates(rows: DataFrame, pred: str, gold: str, lower: Callable[[Column], Column] = F.lower) -> DataFrame:
     """``n, exact, lenient``: shares of matching rows, 0 for none."""
-    rate = lambda f: F.coalesce(F.round(F.avg(f(F.col(pred), F.col(gold)).cast("int")), 6), F.lit(0.0))
+    rate = lambda f: F.coalesce(F.round(F.avg(f(F.col(pred), F.col(gold), lower).cast("int")), 6), F.lit(0.0))
     return rows.agg(F.count(F.lit(1)).alias("n"), rate(exact).alias("exact"), rate(lenient).alias("lenient"))
 
 
-def match_errors(rows: DataFrame, item: str, pred: str, gold: str) -> DataFrame:
+def match_errors(rows: DataFrame, item: str, pred: str, gold: str, lower: Callable[[Column], Column] = F.lower) -> DataFrame:
     """The rows that do not match exactly, as (item, pred, gold)."""
-    return rows.where(~exact(F.col(pred), F.col(gold))).select(F.col(item).alias("item"), F.col(pred).alias("pred"), F.col(gold).alias("gold"))
+    return rows.where(~exact(F.col(pred), F.col(gold), lower)).select(F.col(item).alias("item"), F.col(pred).alias("pred"), F.col(gold).alias("gold"))
 
 
 def binary_scores(rows: DataFrame, pred: Column, gold: Column, keys: list[str] | None = None) -> DataFrame:
