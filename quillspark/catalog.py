@@ -36,8 +36,8 @@ def _documents(spark, d):
     return dealt(_t(spark, d, "documents").select("doc_id", "text"))
 
 
-def _sentences(spark, d, offsets=False):
-    return segment.sentences_of_texts(_documents(spark, d), offsets=offsets)
+def _sentences(spark, d, offsets=False, where=None):
+    return segment.sentences_of_texts(_documents(spark, d), offsets=offsets, where=where)
 
 
 def _lexicon(spark, rows=sql.LEXICON):
@@ -45,7 +45,8 @@ def _lexicon(spark, rows=sql.LEXICON):
 
 
 def _mentions(spark, d):
-    return cascade.run_cascade(extraction.candidates(_sentences(spark, d, offsets=True), _lexicon(spark, sql.ARTIFACT_LEXICON)), RuleScorer())
+    rows = _lexicon(spark, sql.ARTIFACT_LEXICON)
+    return cascade.run_cascade(extraction.candidates(_sentences(spark, d, offsets=True, where=match.may_match(rows)), rows), RuleScorer())
 
 
 def _clusters(spark, d):

@@ -182,25 +182,33 @@ def acronym_edges(groups: DataFrame) -> DataFrame:
 
 
 def merge_groups(groups: DataFrame, edges: DataFrame) -> DataFrame:
-    """Groups with ``grp`` replaced by the smallest group reachable by edges of the document and type."""
-    schema = _ddl(groups)
+    """Groups with ``grp`` replaced by the smallest group reachable by edges of the document and type.
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        parent = {g: g for g in left["grp"]}
+    Only documents and types with edges go through Python, one row each and many rows a batch.
+    """
+    kind = groups.schema["grp"].dataType.simpleString()
+
+    def reached(edges) -> list[dict]:
+        parent: dict[int, int] = {}
 
         def root(x):
-            while parent[x] != x:
+            while parent.setdefault(x, x) != x:
                 parent[x] = parent[parent[x]]
                 x = parent[x]
             return x
 
-        for a, b in zip(right["a"], right["b"], strict=True):
-            a, b = root(a), root(b)
-            parent[max(a, b)] = min(a, b)
-        return left.assign(grp=left["grp"].map(root))
+        for edge in edges:
+            a, b = sorted((root(edge["a"]), root(edge["b"])))
+            parent[b] = a
+        return [{"grp": x, "root": root(x)} for x in parent]
+
+    @F.pandas_udf(f"array<struct<grp:{kind},root:{kind}>>")
+    def roots(edges: pd.Series) -> pd.Series:
+        return edges.map(reached)
 
-    right = edges.select(*KEYS, "a", "b").toDF(*KEYS, "a", "b")  # new column identities: both sides come from the groups
-    return groups.groupBy(*KEYS).cogroup(right.groupBy(*KEYS)).applyInPandas(run, schema)
+    held = edges.groupBy(*KEYS).agg(F.collect_set(F.struct(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"))).alias("e"))
+    found = held.select(*KEYS, F.inline(roots("e"))).toDF(*KEYS, "grp", "root_")  # new column identities: both sides come from the groups
+    return groups.join(found, [*KEYS, "grp"], "left").withColumn("grp", F.coalesce("root_", "grp")).select(*groups.columns)
 
 
 def deduplicate(mentions: DataFrame, scores: DataFrame | None = None, similarity: Callable[[str, str], float] | None = None) -> DataFrame:

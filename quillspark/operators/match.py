@@ -9,6 +9,8 @@ to ``BROADCAST_BYTES`` it is broadcast, and sentences don't move; beyond that bo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from quillspark.operators.segment import SENTENCE_KEYS
 WORDS, PIECES = r"(?U)(\w+)", r"(?U)(\w+|\W+)"
 #: Largest text of a lexicon, in bytes, that is sent to every executor.
 BROADCAST_BYTES = 32 << 20
+#: Most rows of a lexicon whose phrases lines are searched for before they are split.
+FEW_ROWS = 64
 
 
 def contains(text: Column, phrase: Column) -> Column:
@@ -37,6 +41,29 @@ def prepare(lexicon: DataFrame) -> DataFrame:
     return rows.join(keys, "low", "left").withColumn("key", F.coalesce("key", "low"))
 
 
+def may_match(lexicon: DataFrame) -> Callable[[Column], Column] | None:
+    """A plain test of texts, true for every text with a sentence that matches; none for a lexicon of many rows.
+
+    A sentence has the signs of its text in their order, but for white space, so it holds a phrase only if the text
+    holds each part of the phrase between spaces.
+    """
+    rows = lexicon.where("phrase IS NOT NULL AND phrase != ''").select(F.lower("phrase")).limit(FEW_ROWS + 1).collect()
+    if len(rows) > FEW_ROWS:
+        return None
+    phrases = sorted({tuple(dict.fromkeys(part for part in r[0].split(" ") if part)) for r in rows})
+
+    def holds(low: Column) -> Column:
+        found = F.lit(False)
+        for parts in phrases:
+            held = F.lit(True)
+            for part in parts:
+                held = held & low.contains(part)
+            found = found | held
+        return found
+
+    return lambda text: F.exists(F.array(F.lower(text)), holds)  # an array of one, so that the text is lower-cased once
+
+
 def match_lexicon(sentences: DataFrame, lexicon: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """One row for each span and lexicon row: the sentence's columns, ``kind, phrase, rank, start, end``.
 

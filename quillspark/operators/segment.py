@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import split_sentences
@@ -15,12 +17,15 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n", -1)).alias("par", "text"))
 
 
-def sentences_of_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
+def sentences_of_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, where: Callable[[Column], Column] | None = None) -> DataFrame:
     """``doc_id, sec, title, par, sent, text``: one untitled section whose paragraphs are the lines.
 
-    With ``offsets`` also ``snippet_start, snippet_end`` as ``with_offsets`` has them, without its shuffle.
+    With ``offsets`` also ``snippet_start, snippet_end`` as ``with_offsets`` has them, without its shuffle. With
+    ``where`` only lines that pass are split; it must hold for a text with such a line too.
     """
-    lines = paragraphs(docs, id_col, text_col)
+    lines = paragraphs(docs if where is None else docs.where(where(F.col(text_col))), id_col, text_col)
+    if where is not None:
+        lines = lines.where(where(F.col("text")))
     keys = ["doc_id", F.lit(0).alias("sec"), F.lit(None).cast("string").alias("title"), "par"]
     if not offsets:
         return lines.select(*keys, F.posexplode(split_sentences("text")).alias("sent", "text"))
