@@ -313,7 +313,7 @@ def name_pairs(spark, d):
 
 def _cited_mentions(spark, d):
     """Mentions of license names in sentences with citation marks."""
-    s = _sentences(spark, d).where(F.col("text").contains("License"))
+    s = _sentences(spark, d, where=lambda text: text.contains("License")).where(F.col("text").contains("License"))
     s = s.withColumn("text", F.concat("text", F.lit(sql.MARKS)))
     found = cascade.run_cascade(extraction.candidates(s, _lexicon(spark, sql.ARTIFACT_LEXICON)), RuleScorer()).where("valid")
     return Workspace(spark, "cited").save(found)

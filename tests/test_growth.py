@@ -57,3 +57,11 @@ def test_lines_without_a_phrase_are_not_split(spark):
 
 def test_mentions_search_lines_before_they_split_them(spark):
     assert "exists(array(lower(" in _plan(catalog._mentions(spark, SF))
+
+
+def test_sentences_of_a_word_are_those_of_lines_with_it(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    word = lambda text: text.contains("License")
+    whole, part = segment.sentences_of_texts(docs), segment.sentences_of_texts(docs, where=word)
+    assert part.count() < whole.count()
+    assert sorted(map(repr, part.where(word(F.col("text"))).collect())) == sorted(map(repr, whole.where(word(F.col("text"))).collect()))
