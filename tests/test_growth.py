@@ -65,3 +65,12 @@ def test_sentences_of_a_word_are_those_of_lines_with_it(spark):
     whole, part = segment.sentences_of_texts(docs), segment.sentences_of_texts(docs, where=word)
     assert part.count() < whole.count()
     assert sorted(map(repr, part.where(word(F.col("text"))).collect())) == sorted(map(repr, whole.where(word(F.col("text"))).collect()))
+
+
+def test_queries_on_clusters_call_python_for_no_document(spark, monkeypatch):
+    saved = []
+    save = dedup.Workspace.save
+    monkeypatch.setattr(dedup.Workspace, "save", lambda self, df: saved.append(_plan(df)) or save(self, df))
+    for name in ("simple_lists", "license_shares", "artifact_report"):
+        saved.append(_plan(catalog.QUERIES[name](spark, SF)))
+        assert len(saved) > 4 and not any("InPandas" in p for p in saved)
